@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping, Sequence
@@ -107,10 +108,11 @@ def club_key(
     folded = F.regexp_replace(fold(c), r"^1\.?\s*fc\s+", "")
     words = tokens(F.regexp_replace(folded, "[^a-z0-9 ]", " "))
     plain = F.array_join(F.filter(words, lambda w: ~w.isin(*strip)), " ") if strip else F.array_join(words, " ")
-    groups = [(name, f"nickname:{i}") for i, group in enumerate(nicknames) for name in group]
+    groups = {name: f"nickname:{i}" for i, group in enumerate(nicknames) for name in group}
     key = plain
     if groups:
-        table = F.create_map(*[F.lit(x) for pair in groups for x in pair])
+        # folded to a map literal when the plan is optimised
+        table = F.from_json(F.lit(json.dumps(groups)), "map<string,string>")
         key = F.coalesce(F.try_element_at(table, c), plain)
     return F.when(c.isin(*force_split), F.concat(F.lit("force_split:"), c)).otherwise(key) if force_split else key
 

@@ -303,7 +303,7 @@ def explain(
         F.bround(F.col("_base") - F.col("_all"), 1).alias("baseline_score"),
         F.bround(F.col("_all") - F.col("_shown"), 1).alias("other_total"),
         F.lit(len(swaps) - min(limit, len(swaps))).alias("other_count"),
-        F.posexplode("_f"),
+        F.posexplode_outer("_f"),
     )
     return rows.select(
         *key, "col.factor", "col.label", "col.contribution", (F.col("pos") + 1).alias("rank"),

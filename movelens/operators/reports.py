@@ -484,7 +484,7 @@ def facets(df: DataFrame, column: str, names: DataFrame | None = None, name_key:
         return values.orderBy("id")
     table = names.select(F.col(name_key).alias("_fk"), "display_name")
     joined = values.join(table, F.col("id") == F.col("_fk"), "left")
-    return joined.select("id", F.coalesce("display_name", "id").alias("name")).orderBy("name", "id")
+    return joined.select("id", F.coalesce(F.col("display_name"), F.col("id").cast("string")).alias("name")).orderBy("name", "id")
 
 
 def gate(df: DataFrame, field: str, rules: Mapping[str, tuple[str | None, int]]) -> DataFrame:
@@ -559,5 +559,5 @@ def league_label(df: DataFrame, column: str, names: DataFrame, out: str, name_ke
     """Display name of a league id: "Unknown league" if null, the id if not listed."""
     t = names.select(F.col(name_key).alias("_lk"), F.col("display_name").alias("_ln"))
     joined = df.join(t, F.col(column) == F.col("_lk"), "left")
-    shown = F.when(F.col(column).isNull(), "Unknown league").otherwise(F.coalesce("_ln", column))
+    shown = F.when(F.col(column).isNull(), "Unknown league").otherwise(F.coalesce(F.col("_ln"), F.col(column).cast("string")))
     return joined.withColumn(out, shown).drop("_lk", "_ln")

@@ -95,7 +95,7 @@ def _with_segments(df: DataFrame, by: list[str], skew: Skew) -> DataFrame | None
         if n_hot == 0:
             return None
         few = n_hot <= skew.max_broadcast
-        names = [f"_h{i}" for i in range(len(by))]
+        names = [f"_hot_key{i}" for i in range(len(by))]
         hot = hot.toDF(*names)
         bounds = (
             df.select(*by, "_ord")
@@ -208,7 +208,7 @@ def ordered_scan(
         carried.append(F.sum(f"_ss_{out}").over(before).alias(f"_c_s_{out}"))
     for out in totals:
         carried.append(F.sum(f"_st_{out}").over(Window.partitionBy(*by)).alias(f"_c_t_{out}"))
-    names = [f"_k{i}" for i in range(len(by))]
+    names = [f"_carry_key{i}" for i in range(len(by))]
     carry = summary.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col("_seg").alias("_cseg"), *carried)
     joined = scanned.join(carry, _same_keys(by + ["_seg"], names + ["_cseg"]), "left")
 

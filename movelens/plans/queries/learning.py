@@ -243,8 +243,9 @@ SWAPS = {
 }
 CONTRIB_SQL = SCEN_SQL + f""",
 cb AS (SELECT deal_id, subject, unnest(['form_and_fee', 'balance', 'segment', 'priority']) AS factor, unnest([
-  round_even({linear_sql()} - {linear_sql('ref_prior', 'ref_log_fee')}, 1) + 0.0, round_even({linear_sql()} - {linear_sql(balance='ref_balance')}, 1) + 0.0,
-  round_even({linear_sql()} - {linear_sql(segment='ref_segment')}, 1) + 0.0, round_even({linear_sql()} - {linear_sql(priority='ref_priority')}, 1) + 0.0]) AS contribution,
+  round_even(((prior - 50.0) / 28.0 * 4.0 - (ref_prior - 50.0) / 28.0 * 4.0) + ((log_fee - 16.5) / 1.0 * 12.0 - (ref_log_fee - 16.5) / 1.0 * 12.0), 1) + 0.0,
+  round_even((balance - 4500.0) / 3100.0 * -3.0 - (ref_balance - 4500.0) / 3100.0 * -3.0, 1) + 0.0,
+  round_even({SEG.format('segment')} - {SEG.format('ref_segment')}, 1) + 0.0, round_even({PRI.format('priority')} - {PRI.format('ref_priority')}, 1) + 0.0]) AS contribution,
   {linear_sql()} AS base FROM sc)"""
 
 

@@ -98,5 +98,5 @@ def burst_distinct(
             F.struct(expiry.alias("_at"), F.lit(-1).alias("_step")),
         )).alias("_e"),
     ).select(key, "_e.*").groupBy(key, "_at").agg(F.sum("_step").alias("_step"))
-    running = ordered_scan(steps, [key], ["_at"], sums={"_active": F.col("_step")}, skew=skew)
+    running = ordered_scan(steps, [key], ["_at"], sums={"_active": F.col("_step")}, skew=skew.times(2))
     return running.groupBy(key).agg(F.max("_active").alias("peak")).filter(F.col("peak") >= n)

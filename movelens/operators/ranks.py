@@ -92,20 +92,23 @@ def pct_ranks(df: DataFrame, key: Sequence[str], specs: Sequence[RankSpec], skew
 
     The values are stacked as ``(metric, group, value)`` and ranked together,
     so the number of shuffles does not grow with the number of ranks. ``key``
-    identifies a row of ``df``.
+    identifies a row of ``df``. A row with a null group has no rank.
     """
     key = list(key)
     entries = []
     for i, spec in enumerate(specs):
         value = spec.value if spec.where is None else F.when(spec.where, spec.value)
-        group = F.to_json(F.struct(*spec.by)) if spec.by else F.lit("")
+        if len(spec.by) > 1:
+            group = F.to_json(F.struct(*spec.by))
+        else:
+            group = F.col(spec.by[0]).cast("string") if spec.by else F.lit("")
         entries.append(
             F.struct(F.lit(i).alias("_m"), group.alias("_g"), value.cast("double").alias("_v"))
         )
     stacked = (
         df.select(*key, F.explode(F.array(*entries)).alias("_e"))
         .select(*key, "_e._m", "_e._g", "_e._v")
-        .filter(F.col("_v").isNotNull())
+        .filter(F.col("_v").isNotNull() & F.col("_g").isNotNull())
     )
     ranks = value_counts(stacked, "_v", ["_m", "_g"], skew=skew).select("_m", "_g", "_v", rank_share().alias("_p"))
     wide = (

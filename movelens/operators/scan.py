@@ -44,6 +44,10 @@ class Skew:
     def bounded(self, rows: int | None) -> "Skew":
         return replace(self, rows_at_most=rows)
 
+    def times(self, factor: int) -> "Skew":
+        """The guard for a scan over ``factor`` times the rows."""
+        return self if self.rows_at_most is None else self.bounded(self.rows_at_most * factor)
+
 
 DEFAULT_SKEW = Skew()
 

@@ -22,6 +22,7 @@ from movelens.functions.numeric import clip, interp, known_mean
 from movelens.operators.baselines import center_by, group_means
 from movelens.operators.ranks import stacked_quantiles
 from movelens.operators.scan import DEFAULT_SKEW, Skew
+from movelens.sources.staging import stage
 
 POOLED = "__infrequent__"
 
@@ -137,12 +138,15 @@ class FittedFeatures:
 
 
 def fit_features(train: DataFrame, skew: Skew = DEFAULT_SKEW) -> FittedFeatures:
-    """Fit position heights, percentile tables and composite medians on ``train``."""
-    heights = group_means(train, "height_in_cm", "position")
-    tables = percentile_tables(train, skew=skew)
+    """Fit position heights, percentile tables and composite medians on ``train``.
+
+    The tables are staged: each is small, and every later pass reads them.
+    """
+    heights = stage(group_means(train, "height_in_cm", "position"), "fitted-heights")
+    tables = stage(percentile_tables(train, skew=skew), "fitted-percentiles")
     composed = apply_percentiles(train, tables)
     med = as_struct(medians(composed, fv.COMPOSITES, skew=skew), fv.COMPOSITES, "median")
-    return FittedFeatures(heights, tables, med)
+    return FittedFeatures(heights, tables, stage(med, "fitted-medians"))
 
 
 def apply_features(df: DataFrame, fitted: FittedFeatures) -> DataFrame:
@@ -308,6 +312,9 @@ def train(df: DataFrame, reference: dt.date | None = None, skew: Skew = DEFAULT_
     """Fit features and model on the given rows."""
     fitted = fit_features(df, skew)
     ready = recency_weight(apply_features(df, fitted), "transfer_date", reference=reference)
+    # scaling, category counts and the normal equations each pass over the rows
+    needed = ["success_score", "recency_weight", *fv.NUMERIC_FEATURES, *fv.CATEGORICAL_FEATURES]
+    ready = stage(ready.select(*needed), "fit-rows")
     model = fit_ridge(ready, "success_score", "recency_weight", fv.NUMERIC_FEATURES, fv.CATEGORICAL_FEATURES)
     return fitted, model
 

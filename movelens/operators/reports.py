@@ -541,6 +541,12 @@ def breakdown(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def present(df: DataFrame, columns: Mapping[str, str | tuple[str, int]]) -> DataFrame:
+    """Display columns: ``out: input`` as is, ``out: (input, digits)`` rounded half-even; nulls stay null."""
+    shown = {o: F.col(c) if isinstance(c, str) else F.bround(c[0], c[1]) for o, c in columns.items()}
+    return df.select(*[c.alias(o) for o, c in shown.items()])
+
+
 def coverage(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Percentage of rows with each flag set."""
     return df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(f).cast("int") * 100.0).alias(f) for f in flags])

@@ -241,6 +241,22 @@ def test_similar_careers_skip_self_and_single_stops(spark):
     assert (got.groupby("p").size() == 5).all()
 
 
+def test_stored_training_job(spark, rows, tmp_path):
+    from movelens.plans.training import load_trained, predict_job, train_job
+
+    named = rows.withColumns({"name": F.lit("n"), "from_club_name": F.lit("a"), "to_club_name": F.lit("b")})
+    train_job(named, str(tmp_path / "m"))
+    trained = load_trained(spark, str(tmp_path / "m"))
+    scen = rows.limit(12).withColumns({"scenario_id": F.col("player_id"), "foot": F.coalesce("foot", F.lit("unknown"))})
+    scen = scen.withColumn("age_at_transfer", F.when(F.col("player_id") % 5 == 0, 60.0).otherwise(F.col("age_at_transfer")))
+    out = predict_job(scen, trained)
+    scores = out.scores.toPandas()
+    bad = scen.filter("player_id % 5 = 0").count()
+    assert len(scores) == 12 - bad and out.rejected.count() == bad
+    assert scores.predicted_score.between(0, 100).all() and (scores.range_low <= scores.range_high).all()
+    assert out.factors.count() == 20 * len(scores)
+
+
 def test_validation_reasons(prediction):
     _, _, _, _, feat = prediction
     bad = feat.limit(4).withColumns({"age_at_transfer": F.lit(50.0), "pre_apps": F.lit(None).cast("double"), "pre_minutes": F.lit(1.0), "foot": F.lit(None).cast("string")})

@@ -133,6 +133,36 @@ def _fold_models(t: Tables) -> DataFrame:
     return md.surprise(out, "score")
 
 
+# The same on two numeric features, where each fold's fit has a closed form.
+OOF_SQL = PRIOR_SQL + """,
+w AS (SELECT *, pow(0.5, (date_diff('day', d, (SELECT max(d) FROM q)) / 365.25) / 3.0) AS wt,
+  CAST(('0x' || substr(md5(CAST(deal_id AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM q),
+i AS (SELECT unnest([0, 1, 2, 3, 4]) AS i),
+s AS (SELECT i, avg(prior) AS mp, stddev_pop(prior) AS dp, avg(balance) AS mb, stddev_pop(balance) AS db FROM w JOIN i ON fold <> i GROUP BY 1),
+z AS (SELECT s.i, deal_id, fold, score AS y, wt, (prior - mp) / dp AS a, (balance - mb) / db AS b FROM w, s),
+c AS (SELECT i, sum(wt * y) / sum(wt) AS my, sum(wt * a) / sum(wt) AS ma, sum(wt * b) / sum(wt) AS mb FROM z WHERE fold <> i GROUP BY 1),
+g AS (SELECT z.i, sum(wt * (a - ma) * (a - ma)) + 1 AS aa, sum(wt * (a - ma) * (b - mb)) AS ab, sum(wt * (b - mb) * (b - mb)) + 1 AS bb,
+  sum(wt * (a - ma) * (y - my)) AS ay, sum(wt * (b - mb) * (y - my)) AS byy FROM z JOIN c ON c.i = z.i WHERE fold <> z.i GROUP BY 1),
+k AS (SELECT i, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ka, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS kb FROM g)"""
+
+
+@query("oof_numeric", f"""WITH {OOF_SQL}
+SELECT deal_id, fold, round(greatest(least(my - ka * ma - kb * mb + ka * a + kb * b, 100.0), 0.0), 5) AS predicted
+FROM z JOIN c ON c.i = z.i JOIN k ON k.i = z.i WHERE fold = z.i""")
+def oof_numeric(t: Tables) -> DataFrame:
+    df = stage(with_prior(t).select("deal_id", "d", "score", "prior", "balance"), "fold-rows")
+    newest: dt.date = df.agg(F.max("d")).first()[0]
+    folded = stage(md.recency_weight(df, "d", reference=newest).withColumn("fold", md.fold_of(["deal_id"])), "folded-rows")
+    out = None
+    for i in range(md.fv.FOLDS):
+        model = md.fit_ridge(folded.filter(F.col("fold") != i), "score", "recency_weight", ["prior", "balance"])
+        part = folded.filter(F.col("fold") == i).select(
+            "deal_id", "fold", F.round(clip(model.predict(), 0.0, 100.0), 5).alias("predicted")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("oof_predictions")
 def oof_predictions(t: Tables) -> DataFrame:
     """No SQL twin: five fits with categorical features."""

@@ -29,7 +29,7 @@ class Trained:
     metrics: DataFrame
 
 
-def train_job(scored: DataFrame, path: str, skew: Skew = DEFAULT_SKEW) -> None:
+def train_job(scored: DataFrame, path: str, folds: int = fv.FOLDS, skew: Skew = DEFAULT_SKEW) -> None:
     """Fit on scored moves and store model, statistics, comparables and surprises under ``path``."""
     spark = scored.sparkSession
     rows = stage(md.trainable(md.derive(scored)), "train-rows")
@@ -46,7 +46,7 @@ def train_job(scored: DataFrame, path: str, skew: Skew = DEFAULT_SKEW) -> None:
     tables |= {f"references_{f.name}": getattr(refs, f.name) for f in dataclasses.fields(refs)}
     tables |= {
         "coefficients": model.coefficients(spark), "comparables": comparables, "metrics": metrics,
-        "surprises": md.oof_predict(rows, skew=skew),
+        "surprises": md.oof_predict(rows, k=folds, skew=skew),
     }
     save_fitted(tables, path)
 

@@ -131,10 +131,10 @@ def test_ridge_and_features_match_closed_form(rows, fitted, frame):
 
 
 def test_out_of_fold_never_sees_itself(rows, frame):
-    got = md.oof_predict(rows).toPandas().set_index("player_id").sort_index()
+    got = md.oof_predict(rows, k=3).toPandas().set_index("player_id").sort_index()
     assert len(got) == len(frame)
-    folds = rows.select("player_id", md.fold_of(["player_id", "transfer_date"]).alias("f")).toPandas().set_index("player_id").f.sort_index()
-    assert set(folds) == set(range(5))
+    folds = rows.select("player_id", md.fold_of(["player_id", "transfer_date"], 3).alias("f")).toPandas().set_index("player_id").f.sort_index()
+    assert set(folds) == set(range(3))
     f0 = folds == 0
     train, test = frame[~f0.values], frame[f0.values]
     xt, _ = design(train, train)
@@ -245,7 +245,7 @@ def test_stored_training_job(spark, rows, tmp_path):
     from movelens.plans.training import load_trained, predict_job, train_job
 
     named = rows.withColumns({"name": F.lit("n"), "from_club_name": F.lit("a"), "to_club_name": F.lit("b")})
-    train_job(named, str(tmp_path / "m"))
+    train_job(named, str(tmp_path / "m"), folds=2)
     trained = load_trained(spark, str(tmp_path / "m"))
     scen = rows.limit(12).withColumns({"scenario_id": F.col("player_id"), "foot": F.coalesce("foot", F.lit("unknown"))})
     scen = scen.withColumn("age_at_transfer", F.when(F.col("player_id") % 5 == 0, 60.0).otherwise(F.col("age_at_transfer")))

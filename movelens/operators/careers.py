@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from movelens import fixed_values as fv
 from movelens.operators.reports import top_k
+from movelens.operators.scan import DEFAULT_SKEW, Skew, ordered_scan
 
 SHAPE_FEATURES = ("n_stops", "first_score", "last_score", "avg_score", "score_range", "score_trend", "span_years")
 
@@ -43,10 +44,20 @@ def timeline(permanent: DataFrame, loans: DataFrame, columns: Sequence[str], pla
     return both.join(heads, F.col(subject) == F.col("_hs"), "left").drop("_hs")
 
 
-def merge_careers(stops: DataFrame, a: object, b: object, subject: str = "player_id", ts: str = "transfer_date") -> DataFrame:
-    """Stops of two subjects in one list by date, tagged a or b."""
-    pair = stops.filter(F.col(subject).isin(a, b))
-    return pair.withColumn("side", F.when(F.col(subject) == a, "a").otherwise("b")).orderBy(ts, "side")
+def merge_careers(
+    stops: DataFrame, pairs: DataFrame, subject: str = "player_id", ts: str = "transfer_date", tie: Sequence[str] = (),
+    skew: Skew = DEFAULT_SKEW,
+) -> DataFrame:
+    """Stops of two subjects in one list by date, for any number of pairs.
+
+    ``pairs`` has ``pair``, ``a`` and ``b``. Adds ``pair``, ``side`` (a or b)
+    and ``place``, the position in the merged list.
+    """
+    sides = pairs.select(
+        "pair", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("_who")) for s in ("a", "b")])).alias("_e")
+    ).select("pair", "_e.*")
+    merged = stops.join(sides, F.col(subject) == F.col("_who")).drop("_who")
+    return ordered_scan(merged, ["pair"], [ts, "side", *tie], sums={"place": F.lit(1)}, skew=skew)
 
 
 def distinct_subjects(tables: Sequence[DataFrame], subject: str, name: str) -> DataFrame:

@@ -396,22 +396,26 @@ def share_of_total(df: DataFrame, by: str, value: str, out: str = "share_pct") -
     return joined.withColumn(out, F.col(value) / F.col("_tv") * 100).drop("_tb", "_tv")
 
 
-def head_to_head(cards: DataFrame, a: str, b: str, name: str = "club_name") -> DataFrame:
-    """Two organisations side by side; a winner only where higher is clearly better."""
+def head_to_head(cards: DataFrame, pairs: DataFrame, name: str = "club_name") -> DataFrame:
+    """Organisations side by side; a winner only where higher is clearly better.
+
+    ``pairs`` has ``a`` and ``b``. One row per pair and metric with both values.
+    """
     metrics = {
         "transfers_in": False, "avg_incoming_score": True, "total_spent": False,
         "avg_resale_profit_pct": True, "transfers_out": False, "avg_departure_score": False,
     }
-    pair = cards.filter(F.col(name).isin(a, b))
+    values = F.struct(*[F.col(k).cast("double").alias(k) for k in metrics])
+    left = cards.select(F.col(name).alias("a"), values.alias("_va"))
+    right = cards.select(F.col(name).alias("b"), values.alias("_vb"))
     entries = F.array(
-        *[F.struct(F.lit(i).alias("place"), F.lit(k).alias("metric"), F.col(k).cast("double").alias("v"), F.lit(c).alias("c"))
-          for i, (k, c) in enumerate(metrics.items())]
-    )
-    rows = pair.select(F.col(name).alias("_n"), F.explode(entries).alias("e")).groupBy("e.place", "e.metric", "e.c").agg(
-        F.max(F.when(F.col("_n") == a, F.col("e.v"))).alias("a"), F.max(F.when(F.col("_n") == b, F.col("e.v"))).alias("b")
+        *[F.struct(F.lit(i).alias("place"), F.lit(k).alias("metric"), F.col(f"_va.{k}").alias("a_value"),
+                   F.col(f"_vb.{k}").alias("b_value"), F.lit(c).alias("c")) for i, (k, c) in enumerate(metrics.items())]
     )
-    winner = F.when(F.col("c") & (F.col("a") > F.col("b")), F.lit(a)).when(F.col("c") & (F.col("b") > F.col("a")), F.lit(b))
-    return rows.select("place", "metric", "a", "b", winner.alias("winner"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", F.explode(entries).alias("e")).select("a", "b", "e.*")
+    x, y = F.col("a_value"), F.col("b_value")
+    winner = F.when(F.col("c") & (x > y), F.col("a")).when(F.col("c") & (y > x), F.col("b"))
+    return rows.withColumn("winner", winner).drop("c")
 
 
 # ---------------------------------------------------------------- browsing

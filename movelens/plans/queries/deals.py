@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from movelens.operators import careers as ca
 from movelens.operators import reports as rp
 from movelens.operators.ranks import pct_ranks
+from movelens.operators.scan import ordered_scan
 from movelens.operators.scoring import resale_spec
 from movelens.plans.queries.base import (
     DEALS, DEALS_SQL, RESOLD_SQL, Tables, day, deals, query, rank_sql, resold, user_events,
 )
+from movelens.sources.staging import stage
 
 RANKED_SQL = RESOLD_SQL + f""",
 rk AS (SELECT deal_id, {rank_sql('(next_fee - fee) / greatest(fee, 10000000)')} AS resale_pct FROM resold WHERE next_fee > 0),
@@ -251,14 +253,18 @@ i AS (SELECT buyer AS c, count(*) AS n, avg(score) AS s, sum(fee) AS f FROM deal
 r AS (SELECT buyer AS c, avg(resale_pct) AS p FROM ranked WHERE next_fee > 0 GROUP BY 1),
 o AS (SELECT seller AS c, count(*) AS n, avg(score) AS s FROM deals WHERE seller IS NOT NULL GROUP BY 1),
 m AS (SELECT i.c, unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['transfers_in', 'avg_incoming_score', 'total_spent', 'avg_resale_profit_pct', 'transfers_out', 'avg_departure_score']) AS metric,
-  unnest([CAST(i.n AS DOUBLE), i.s, CAST(i.f AS DOUBLE), r.p, CAST(o.n AS DOUBLE), o.s]) AS v FROM i JOIN r USING (c) JOIN o USING (c) WHERE i.c IN (3, 7))
-SELECT CAST(a.place AS INTEGER) AS place, a.metric, round(a.v, 6) AS a, round(b.v, 6) AS b,
-  CASE WHEN a.metric IN ('avg_incoming_score', 'avg_resale_profit_pct') THEN CASE WHEN a.v > b.v THEN 3 WHEN b.v > a.v THEN 7 END END AS winner
-FROM m a JOIN m b ON a.metric = b.metric AND a.c = 3 AND b.c = 7""")
+  unnest([CAST(i.n AS DOUBLE), i.s, CAST(i.f AS DOUBLE), r.p, CAST(o.n AS DOUBLE), o.s]) AS v FROM i JOIN r USING (c) JOIN o USING (c)),
+pr AS (SELECT * FROM (SELECT n_nationkey AS a, lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation) WHERE b IS NOT NULL)
+SELECT pr.a, pr.b, CAST(x.place AS INTEGER) AS place, x.metric, round(x.v, 6) AS a_value, round(y.v, 6) AS b_value,
+  CASE WHEN x.metric IN ('avg_incoming_score', 'avg_resale_profit_pct') THEN CASE WHEN x.v > y.v THEN pr.a WHEN y.v > x.v THEN pr.b END END AS winner
+FROM pr JOIN m x ON x.c = pr.a JOIN m y ON y.c = pr.b AND y.metric = x.metric""")
 def head_to_head(t: Tables) -> DataFrame:
-    cards = rp.report_cards(ranked(t), DEALS, skew=t.skew("orders"))
-    return rp.head_to_head(cards, 3, 7).select(
-        "place", "metric", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), "winner"
+    """Every nation against the next one of its region."""
+    cards = stage(rp.report_cards(ranked(t), DEALS, skew=t.skew("orders")), "cards")
+    pairs = ordered_scan(t.nation, ["n_regionkey"], ["n_nationkey"], lead={"b": F.col("n_nationkey")}, skew=t.skew("nation"))
+    pairs = pairs.filter(F.col("b").isNotNull()).select(F.col("n_nationkey").alias("a"), "b")
+    return rp.head_to_head(cards, pairs).select(
+        "a", "b", "place", "metric", F.round("a_value", 6).alias("a_value"), F.round("b_value", 6).alias("b_value"), "winner"
     )
 
 
@@ -289,9 +295,17 @@ def timeline_union(t: Tables) -> DataFrame:
     return stops(t).join(head, "subject", "left").select("subject", "type", "id", day("d").alias("d"), "score", "segment")
 
 
-@query("merged_timelines", f"WITH {STOPS_SQL} SELECT CASE WHEN subject = 7 THEN 'a' ELSE 'b' END AS side, type, id, strftime(d, '%Y-%m-%d') AS d, score FROM stops WHERE subject IN (7, 11)")
+@query("merged_timelines", f"""WITH {STOPS_SQL},
+pr AS (SELECT * FROM (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS b FROM customer) WHERE b IS NOT NULL),
+sd AS (SELECT a AS pair, 'a' AS side, a AS subject FROM pr UNION ALL SELECT a, 'b', b FROM pr)
+SELECT pair, side, row_number() OVER (PARTITION BY pair ORDER BY d, side, type, id) AS place, type, id, strftime(d, '%Y-%m-%d') AS d, score FROM stops JOIN sd USING (subject)""")
 def merged_timelines(t: Tables) -> DataFrame:
-    return ca.merge_careers(stops(t), 7, 11, "subject", "d").select("side", "type", "id", day("d").alias("d"), "score")
+    """Every customer's career merged with the next one's of the same nation."""
+    pairs = ordered_scan(t.customer, ["c_nationkey"], ["c_custkey"], lead={"b": F.col("c_custkey")}, skew=t.skew("customer"))
+    pairs = pairs.filter(F.col("b").isNotNull()).select(F.col("c_custkey").alias("pair"), F.col("c_custkey").alias("a"), "b")
+    guard = t.skew("orders", "events").times(2)
+    merged = ca.merge_careers(stops(t), pairs, "subject", "d", ["type", "id"], guard)
+    return merged.select("pair", "side", "place", "type", "id", day("d").alias("d"), "score")
 
 
 @query("peak_stop", f"WITH {STOPS_SQL} SELECT subject, strftime(arg_min(d, (-score, d)), '%Y-%m-%d') AS d, max(score) AS score FROM stops GROUP BY 1")

@@ -160,7 +160,9 @@ def test_careers(spark):
     stops = timeline(a, b, ["player_id", "name", "transfer_date"])
     assert stops.count() == 5
     assert {r.player_id: r.transfer_date for r in peak_stop(stops, "player_id", "transfer_date", "score").collect()}[1] == D(2021, 1, 1)
-    assert [r.side for r in merge_careers(stops, 1, 2).collect()] == ["a", "a", "b", "a"]
+    pairs = spark.createDataFrame([(9, 1, 2)], "pair int, a int, b int")
+    merged = merge_careers(stops, pairs, tie=["type"]).orderBy("place").collect()
+    assert [r.side for r in merged] == ["a", "a", "b", "a"]
     assert {r.player_id: r["name"] for r in distinct_subjects([a, b], "player_id", "name").collect()} == {1: "A", 2: "B", 3: "C"}
 
 

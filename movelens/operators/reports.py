@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from movelens import fixed_values as fv
 from movelens.functions.text import has_text
-from movelens.operators.ranks import value_counts
+from movelens.operators.ranks import quantiles, value_counts
 from movelens.operators.scan import DEFAULT_SKEW, Skew, ordered_scan
 
 
@@ -316,8 +316,6 @@ def binned_trend(
     equal values always share a bin. Everything follows from the distinct
     values with their counts; the rows are shuffled once.
     """
-    from movelens.operators.ranks import quantiles
-
     by = list(by)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     counts = value_counts(rows, x, by, aggs={"_sy": F.sum(y)}, skew=skew)

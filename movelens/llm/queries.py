@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from movelens.llm import bpe, sharding
+from movelens.llm import bpe, host_reputation, jaccard_join, quality_ranker, sharding
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +23,51 @@ def _query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return fn
 
 
+# The rules that url judgements start from.
+URL_RULES = (
+    host_reputation.Rule("allow", "org", "/"),
+    host_reputation.Rule("block", "example.org", "/es/"),
+    host_reputation.Rule("block", "example.org", "/en/1"),
+    host_reputation.Rule("allow", "com", "/fr/"),
+    host_reputation.Rule("block", "com", "/de/"),
+)
+
+
+@_query
+def op1_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learned from the labelled ones outside the held-out fold."""
+    held_out = quality_ranker.in_fold(F.col("doc_id"), 5, 0)
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    out = quality_ranker.scored(docs, "doc_id", "text", _table(spark, folder, "labels"), "quality", ~held_out)
+    predicted = (F.col("score") >= quality_ranker.CUT).cast("int")
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@_query
+def op4_shingle_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of 4-word shingles are similar by 85 hundredths or more."""
+    return jaccard_join.near_duplicate_groups(_table(spark, folder, "documents"), "doc_id", "text", 4, 85, 100)
+
+
+SQL["op4_shingle_groups"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.m)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) c ON c.doc_id = d.doc_id
+"""
+
+
 @_query
 def op6_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of the text decoded from it."""
@@ -29,6 +75,58 @@ def op6_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoding_digests(_table(spark, folder, "documents"), "doc_id", "text", path)
 
 
+@_query
+def op8_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's verdict: the longest rule that fits, else its host's posterior bad rate."""
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    judged = host_reputation.judge_urls(pages, "url", URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op8_host_reputation"] = r"""
+WITH p0 AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, h, pre) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+hp AS (SELECT DISTINCT host, path FROM p0),
+ruled AS (
+  SELECT host, path, arg_max(h || pre, length(h || pre)) AS rule, arg_max(verdict, length(h || pre)) AS ruled
+  FROM hp JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY host, path),
+p AS (
+  SELECT p0.*, rule, ruled, string_split(p0.host, '.')[-1] AS suffix, array_to_string(string_split(p0.host, '.')[-2:], '.') AS domain
+  FROM p0 LEFT JOIN ruled ON ruled.host = p0.host AND ruled.path = p0.path),
+o AS (
+  SELECT host, any_value(suffix) AS suffix, any_value(domain) AS domain, count(*) AS n, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS bad
+  FROM p WHERE ruled IS NOT NULL GROUP BY host),
+t AS (SELECT coalesce(sum(n), 0) AS n, coalesce(sum(bad), 0) AS bad FROM o),
+l0 AS (SELECT (bad + 1.0::DOUBLE) AS a, (n - bad + 1.0::DOUBLE) AS b FROM t),
+g1 AS (SELECT suffix AS name, sum(n) AS n, sum(bad) AS bad, (SELECT a / (a + b) FROM l0) AS prior FROM o GROUP BY suffix),
+k1 AS (SELECT CASE WHEN count(*) = 0 OR sum(n - 1) = 0 THEN 2 ELSE (CASE WHEN sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*) > 0
+    THEN least(1000, greatest(2, sum(n - 1) / (sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*)) - 1)) ELSE 1000 END) END AS k
+  FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, prior)) AS m FROM g1)),
+l1 AS (SELECT name, bad + prior * k AS a, n - bad + (1 - prior) * k AS b FROM g1, k1),
+g2 AS (SELECT o.domain AS name, sum(n) AS n, sum(bad) AS bad, any_value(l1.a / (l1.a + l1.b)) AS prior
+  FROM o JOIN l1 ON l1.name = o.suffix GROUP BY o.domain),
+k2 AS (SELECT CASE WHEN count(*) = 0 OR sum(n - 1) = 0 THEN 2 ELSE (CASE WHEN sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*) > 0
+    THEN least(1000, greatest(2, sum(n - 1) / (sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*)) - 1)) ELSE 1000 END) END AS k
+  FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, prior)) AS m FROM g2)),
+l2 AS (SELECT name, bad + prior * k AS a, n - bad + (1 - prior) * k AS b FROM g2, k2),
+g3 AS (SELECT o.host AS name, n, bad, l2.a / (l2.a + l2.b) AS prior FROM o JOIN l2 ON l2.name = o.domain),
+k3 AS (SELECT CASE WHEN count(*) = 0 OR sum(n - 1) = 0 THEN 2 ELSE (CASE WHEN sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*) > 0
+    THEN least(1000, greatest(2, sum(n - 1) / (sum(n * power(bad / n - m, 2) / (m * (1 - m))) - count(*)) - 1)) ELSE 1000 END) END AS k
+  FROM (SELECT *, greatest(1e-6, least(1 - 1e-6, prior)) AS m FROM g3)),
+l3 AS (SELECT name, bad + prior * k AS a, n - bad + (1 - prior) * k AS b FROM g3, k3),
+j AS (
+  SELECT p.page_id, p.host, p.path, p.rule, p.ruled, coalesce(l3.a, l2.a, l1.a, l0.a) AS a, coalesce(l3.b, l2.b, l1.b, l0.b) AS b
+  FROM p CROSS JOIN l0 LEFT JOIN l1 ON l1.name = p.suffix LEFT JOIN l2 ON l2.name = p.domain LEFT JOIN l3 ON l3.name = p.host)
+SELECT page_id, host, path, rule, coalesce(ruled,
+  CASE WHEN a / (a + b) - 1.645 * sqrt(a * b / (power(a + b, 2) * (a + b + 1))) > 0.75 THEN 'block' ELSE 'allow' END) AS verdict
+FROM j
+"""
+
+
 @_query
 def op10_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of eight, its slot there, and its shard if one is added."""

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -229,20 +230,37 @@ def vocabulary_source(path: str) -> str:
         return f.read()
 
 
-def with_tokens(df: DataFrame, text: str, path: str, ids: str = "token_ids") -> DataFrame:
-    """Adds the token ids of a text column as an array."""
+def with_tokens(df: DataFrame, text: str, path: str, ids: str = "token_ids", back: str | None = None) -> DataFrame:
+    """Adds the token ids of a text column as an array, and with ``back`` a column of the text decoded from them."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_source(path))
-    keep = [c for c in df.columns if c != ids]
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    keep = [c for c in df.columns if c not in (ids, back)]
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(back, T.StringType())] if back else [])]
+    schema = T.StructType([*df.select(*keep).schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
-            coded = [list(itertools.chain.from_iterable(encoder.encode(t))) for t in _texts(batch, text)]
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(coded, pa.list_(pa.int32()))], names=[*keep, ids])
-
-    return df.mapInArrow(run, schema)
+        for whole in batches:
+            for batch in _slices(whole, text):
+                texts = _texts(batch, text)
+                _prepare(encoder, texts)
+                coded = [list(itertools.chain.from_iterable(encoder.encode(t))) for t in texts]
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                out = [*kept, pa.array(coded, pa.list_(pa.int32()))]
+                if back:
+                    out.append(pa.array([encoder.decode(x).decode("utf-8", "replace") for x in coded], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
+
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most CHUNK_CHARS characters of text, or one row."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy()
+    ends, low = np.cumsum(lengths), 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_CHARS, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def decoded(df: DataFrame, ids: str, path: str, text: str = "text") -> DataFrame:

@@ -73,6 +73,11 @@ def _quoted(s: str) -> str:
 
 
 
+def _lengths(windows: DataFrame) -> list[int]:
+    """Words of the windows: at most as many numbers as a window has words."""
+    return [r.n for r in windows.select("n").distinct().orderBy("n").collect()] or [1]
+
+
 def _first_look(docs: DataFrame, key: str, text: str, windows: DataFrame) -> DataFrame:
     """Per row: id, row key, n_words and whether any window's hash occurs."""
     base = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), whole_text(text).alias("t"))
@@ -90,12 +95,12 @@ def _first_look(docs: DataFrame, key: str, text: str, windows: DataFrame) -> Dat
         look = F.expr(f"element_at(transform(_one, ws -> struct(size(ws) AS n_words, {' OR '.join(tests) or 'false'} AS maybe)), 1)")
         return base.select("id", "rk", words).select("id", "rk", look.alias("x")).select("id", "rk", "x.n_words", "x.maybe")
     # a set of this size is joined on the hash instead
-    lengths = [r.n for r in windows.select("n").distinct().collect()]  # at most ``width`` numbers
+    lengths = _lengths(windows)
     every = "flatten(array(" + ", ".join(
-        f"CASE WHEN size(ws) >= {n} THEN transform(sequence(1, size(ws) - {n - 1}), i -> struct({n} AS n, xxhash64(slice(ws, i, {n})) AS h)) END"
+        f"CASE WHEN size(ws) >= {n} THEN transform(sequence(1, size(ws) - {n - 1}), i -> struct({n} AS n, xxhash64(slice(ws, i, {n})) AS h)) ELSE array() END"
         for n in lengths) + "))"
     counted = base.select("id", "rk", words).select("id", "rk", F.expr("size(element_at(_one, 1))").alias("n_words"))
-    looked = base.select("rk", words).select("rk", F.explode(F.expr(f"element_at(transform(_one, ws -> filter({every}, x -> x IS NOT NULL)), 1)")).alias("x"))
+    looked = base.select("rk", words).select("rk", F.explode(F.expr(f"element_at(transform(_one, ws -> {every}), 1)")).alias("x"))
     hit = looked.select("rk", "x.n", "x.h").join(windows.select("n", "h").distinct(), ["n", "h"], "left_semi").select("rk").distinct()
     return counted.join(hit.withColumn("maybe", F.lit(True)), "rk", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
@@ -104,7 +109,7 @@ def _hits(docs: DataFrame, key: str, text: str, keys: DataFrame, windows: DataFr
     """Per row key: the positions of hit words, from 1, and the items; by the windows' words."""
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    lengths = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most ``width`` numbers
+    lengths = _lengths(windows)
     base = docs.select(row_key(key, text).alias("rk"), whole_text(text).alias("t")).join(keys, "rk", "left_semi")
     every = "flatten(array(" + ", ".join(
         f"CASE WHEN size(ws) >= {n} THEN transform(sequence(1, size(ws) - {n - 1}), i -> struct(i AS i, {n} AS n, array_join(slice(ws, i, {n}), ' ') AS gram)) "

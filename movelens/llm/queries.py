@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from movelens.llm import bpe, host_reputation, jaccard_join, quality_ranker, sharding
+from movelens.llm import (
+    bpe,
+    decontaminate,
+    host_reputation,
+    html_region,
+    jaccard_join,
+    line_dedup,
+    quality_ranker,
+    secret_scan,
+    sharding,
+    vector_range_join,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +54,19 @@ def op1_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+@_query
+def op2_markov_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every document: fixed patterns, and long tokens that read as random strings."""
+    return secret_scan.scan_report(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+@_query
+def op3_html_region(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    out = html_region.extract(_table(spark, folder, "pages").select("page_id", "url", "html"), "html")
+    return out.select("page_id", "url", "text").withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query
 def op4_shingle_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of 4-word shingles are similar by 85 hundredths or more."""
@@ -68,6 +92,28 @@ JOIN (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id) c ON c.doc_i
 """
 
 
+@_query
+def op5_vector_range_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of every vector by a cosine of 0.93 or more within its label, and its group."""
+    return vector_range_join.range_join(_table(spark, folder, "embeddings"), "vec_id", "embedding", "label", 0.93)
+
+
+SQL["op5_vector_range_join"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS m FROM embeddings UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT c.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.vec_id = c.vec_id
+"""
+
+
 @_query
 def op6_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts and digests of every document's encoding and of the text decoded from it."""
@@ -75,6 +121,37 @@ def op6_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoding_digests(_table(spark, folder, "documents"), "doc_id", "text", path)
 
 
+@_query
+def op7_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    docs, benchmark = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    return decontaminate.contamination_report(docs, "doc_id", "text", benchmark)
+
+
+SQL["op7_benchmark_windows"] = r"""
+WITH b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id::VARCHAR AS item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON bw.n = dw.n AND bw.g = dw.g),
+p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id)) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(len(t.items), 0) AS n_items,
+  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 @_query
 def op8_host_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's verdict: the longest rule that fits, else its host's posterior bad rate."""
@@ -127,6 +204,12 @@ FROM j
 """
 
 
+@_query
+def op9_line_edit_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that repeat an earlier one, exactly or within two edits."""
+    return line_dedup.dedup_report(_table(spark, folder, "documents"), "doc_id", "text")
+
+
 @_query
 def op10_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of eight, its slot there, and its shard if one is added."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,7 +128,7 @@ def scan(docs: DataFrame, text: str, margin: float = MARGIN) -> DataFrame:
         F.concat("assign", "access", "hex"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     judged = found.withColumn("_free", free).withColumn("_free", F.expr(
         "transform(_free, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'r', " + _ratio_sql(weights) + "))"))
-    spans = [F.transform(k, lambda x, k=k: _span(k, x, F.lit(None).cast("double"))) for k in KINDS[:3]]
+    spans = [F.transform(k, _as_span(k)) for k in KINDS[:3]]
     added = F.transform(F.filter("_free", lambda x: x["r"] > margin), lambda x: _span("markov", x, x["r"]))
     out = judged.withColumn("spans", F.array_sort(F.concat(*spans, added)))
     keep = [c for c in docs.columns if c != text]
@@ -138,6 +139,10 @@ def _span(kind: str, x: Column, r: Column) -> Column:
     return F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind"), r.alias("ratio"))
 
 
+def _as_span(kind: str) -> Callable[[Column], Column]:
+    return lambda x: _span(kind, x, F.lit(None).cast("double"))
+
+
 def listed(spans: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
@@ -146,7 +151,10 @@ def listed(spans: Column) -> Column:
 def scan_report(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Counts, digest of the base spans and list of all spans per row."""
     found = scan(docs.select(key, text), text)
-    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = listed(F.filter("spans", lambda x: x["kind"] != "markov"))
     return found.select(key, *map(count, KINDS[:3]), F.sha2(base.cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), count("markov"))
 

@@ -2,9 +2,9 @@
 
 Both models give the chance of a character after the one before it. The random
 one is trained on the strings that the fixed patterns label as secrets, the
-ordinary one on the long tokens of all documents without such a match; counts
-cover the whole corpus. A long token that mixes digits and letters is a secret
-too if the log-likelihood ratio of the models, summed over its characters, is
+ordinary one on the tokens of all documents without such a match, but for those
+that are still to be judged; counts cover the whole corpus. A long token that
+mixes digits and letters is a secret too if the log-likelihood ratio of the models, summed over its characters, is
 above a margin. All steps are DataFrame functions; only the two tables of
 character pairs, of fixed size, go through the driver.
 
@@ -35,7 +35,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Tokens the ordinary model learns from, and tokens that are judged.
-TOKEN, LONG_TOKEN = "[A-Za-z0-9+/_=-]{12,}", "[A-Za-z0-9+/_=-]{20,}"
+LONG = 20
+TOKEN, LONG_TOKEN = "[A-Za-z0-9+/_=-]{12,}", f"[A-Za-z0-9+/_=-]{{{LONG},}}"
 #: Natural log of the odds that make a token a secret.
 MARGIN = 12.0
 
@@ -59,6 +60,11 @@ def _spans(text: str, pattern: str, group: int) -> str:
           a -> a.out) END), 1)"""
 
 
+def _judged(token: Column) -> Column:
+    """Whether a token is long and mixes digits and letters."""
+    return (F.length(token) >= LONG) & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+
+
 def _found(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with assign, access, hex and long (spans), and words (tokens of texts without a base match)."""
     empty = F.expr(f"CAST(array() AS {_SPANS})")
@@ -68,8 +74,8 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
     named = F.lit(False)
     for k in KEYWORDS:
         named = named | F.contains(low, F.lit(k))
-    lengthy = F.exists("_tokens", lambda x: F.length(x) >= 20)
-    odd = F.exists("_tokens", lambda x: (F.length(x) >= 20) & x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    lengthy = F.exists("_tokens", lambda x: F.length(x) >= LONG)
+    odd = F.exists("_tokens", _judged)
     d = d.withColumns({
         "assign": F.when(named, F.filter(F.expr(_spans("_t", ASSIGN, 2)), lambda s: F.char_length(s["v"]) >= ASSIGN_VALUE)).otherwise(empty),
         "access": F.when(F.contains("_t", F.lit("AKIA")), F.expr(_spans("_t", ACCESS, 0))).otherwise(empty),
@@ -77,7 +83,8 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
         "long": F.when(odd, F.expr(_spans("_t", LONG_TOKEN, 0))).otherwise(empty),
     })
     base = F.size("assign") + F.size("access") + F.size("hex") > 0
-    return d.withColumn("words", F.when(base, F.array().cast("array<string>")).otherwise(F.col("_tokens"))).drop("_t", "_tokens")
+    return d.withColumn("words", F.when(base, F.array().cast("array<string>")).otherwise(
+        F.when(odd, F.filter("_tokens", lambda x: ~_judged(x))).otherwise(F.col("_tokens")))).drop("_t", "_tokens")
 
 
 def _pair_counts(strings: DataFrame) -> dict[str, int]:
@@ -124,7 +131,7 @@ def scan(docs: DataFrame, text: str, margin: float = MARGIN) -> DataFrame:
     found = stage(_found(docs, text).drop(text), "secrets")
     weights = learn_weights(found)
     # a rare few rows have long tokens; tokens that touch a base span are left out
-    free = F.filter("long", lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]") & ~F.exists(
+    free = F.filter("long", lambda x: _judged(x["v"]) & ~F.exists(
         F.concat("assign", "access", "hex"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     judged = found.withColumn("_free", free).withColumn("_free", F.expr(
         "transform(_free, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'r', " + _ratio_sql(weights) + "))"))

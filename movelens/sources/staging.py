@@ -37,4 +37,16 @@ def stage(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_root(spark).rstrip('/')}/movelens/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Removes staged tables that nothing will read any more; other tables and None are left alone."""
+    for df in tables:
+        path = getattr(df, "_staged_path", None)
+        if path is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movelens.sources.staging import stage
+from movelens.sources.staging import stage, unstage
 
 
 def _smaller(edges: DataFrame, both: bool) -> DataFrame:
@@ -22,6 +23,25 @@ def _smaller(edges: DataFrame, both: bool) -> DataFrame:
     return moved.filter(a > b).select("a", "b").distinct()
 
 
+def local_roots(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+    """Smallest member of each group of 0 .. n - 1, from pairs within one task."""
+    root = np.arange(n)
+    a, b = np.concatenate((rows, cols)), np.concatenate((cols, rows))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    if not len(a):
+        return root
+    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+    who = a[starts]
+    while True:
+        new = root.copy()
+        new[who] = np.minimum(root[who], np.minimum.reduceat(root[b], starts))
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
 def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> DataFrame:
     """``node`` and ``component`` (the smallest node of its component) for every node with a link.
 
@@ -38,7 +58,8 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
     edges = stage(edges, "links")
     before = None
     for _ in range(rounds):
-        edges = stage(_smaller(_smaller(edges, True), False), "links")
+        last, edges = edges, stage(_smaller(_smaller(edges, True), False), "links")
+        unstage(last)
         now = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("b")
         ).first()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from movelens.llm.components import components
+from movelens.llm.components import components, local_roots
 from movelens.sources.staging import stage
 
 #: Vectors for which a label gets one more pivot; vectors of a block; pivots of all labels together at most
@@ -109,22 +109,6 @@ def _cells(nodes: DataFrame, pivots: dict[tuple[int, int], np.ndarray], radius:
     return source.mapInArrow(place, f"label {kinds['label']}, size int, cell int, home boolean, node long, copies long, v binary")
 
 
-def _roots(rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    """Smallest member of each local group, from pairs sorted by row in both directions."""
-    root = np.arange(n)
-    if not len(rows):
-        return root
-    starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    who = rows[starts]
-    while True:
-        new = root.copy()
-        new[who] = np.minimum(root[who], np.minimum.reduceat(root[cols], starts))
-        new = np.minimum(new, new[new])
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _join_blocks(threshold: float):
     def join(part: pd.DataFrame) -> pd.DataFrame:
         size, same = int(part["size"].iloc[0]), bool(part["b1"].iloc[0] == part["b2"].iloc[0])
@@ -142,7 +126,7 @@ def _join_blocks(threshold: float):
             rows.append(r + low), cols.append(c)
         r, c = np.concatenate(rows), np.concatenate(cols)
         links = np.bincount(r, weights=copies[c], minlength=len(x)).astype(np.int64)
-        root = _roots(r, c, len(x))
+        root = local_roots(r, c, len(x))
         got = links > 0
         node = part["node"].to_numpy()
         return pd.DataFrame({"node": node[got], "links": links[got], "root": node[root[got]]})

@@ -11,7 +11,9 @@ segments (with its length) and looked up under the substrings it has where a
 segment of a line of the same or a smaller length can lie. All these keys are
 hashes from running sums over the characters. Pairs that meet are verified once
 with a bit-parallel edit distance that keeps one word per pair: the diagonals
-within the threshold.
+within the threshold. At a key under which very many lines are entered, pairs
+are not made: a task compares two blocks of its lines and returns the lines
+with an earlier near copy.
 
 Defined results: null and empty texts have one empty line, which stays; ids that
 are null come last; rows that repeat an id and a text are one document, judged
@@ -23,9 +25,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.llm.shingles import mixed, powers
@@ -33,6 +36,10 @@ from movelens.llm.text_ids import free_name, row_key, whole_text
 from movelens.sources.staging import stage
 
 EDITS, MIN_WORDS, MIN_CHARS = 2, 5, 20
+#: Lines entered under a key up to which all pairs meet, and lines of a block beyond that.
+FEW_LINES, BLOCK_LINES = 32, 1024
+#: Ids of keys and lines that are broadcast at most (16 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Keys of documents that are broadcast at most (16 bytes each) when candidate lines are fetched.
 BROADCAST_KEYS = 1_000_000
 #: Characters of lines handled at a time.
@@ -211,10 +218,59 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     return pairs.mapInArrow(check, pairs.schema)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Broadcast if counted to be small, else left to a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _known(docs: DataFrame, key: str, text: str, lines: DataFrame, asked: DataFrame) -> DataFrame:
+    """k1, k2, first place and text of the asked lines (k1, k2)."""
+    asked = stage(asked.distinct(), "asked")
+    places = stage(lines.join(_small(asked), ["k1", "k2"]).groupBy("k1", "k2").agg(_first_place()), "line-places")
+    texts = _line_texts(docs, key, text, places.select("f.rk", "f.no"))
+    return stage(places.join(texts, ["k1", "k2"]), "line-texts")
+
+
+def _first_place() -> Column:
+    return F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no"), F.col("rk"))).alias("f")
+
+
+def _later_in_blocks(edits: int):
+    def later(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["none", "id", "no", "rk"]).reset_index(drop=True)
+        one = bool(part["b1"].iloc[0] == part["b2"].iloc[0])
+        lines, block = part["line"].tolist(), part["block"].to_numpy()
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        letters = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32) for x in lines], np.int32)
+        found = np.zeros(len(lines), bool)
+        waiting: dict[int, list[int]] = {}
+        for i in range(1, len(lines)):
+            apart = np.abs(letters[:i] - letters[i]).sum(axis=1)  # an edit changes two counts at most
+            good = (np.abs(length[:i] - length[i]) <= edits) & (apart <= 2 * edits)
+            if not one:  # pairs inside one block belong to that block's own task
+                good &= block[:i] != block[i]
+            if good.any():
+                j = np.flatnonzero(good)
+                waiting[i] = j[np.argsort(apart[j], kind="stable")].tolist()
+        while waiting:  # the likeliest first; a line that has its earlier copy is done
+            pairs = [(i, j) for i, js in waiting.items() for j in js[:4]]
+            for at in range(0, len(pairs), 1024):
+                some = pairs[at:at + 1024]
+                good = edit_distance_within([lines[i] for i, _ in some], [lines[j] for _, j in some], edits)
+                found[[i for (i, _), g in zip(some, good, strict=True) if g]] = True
+            waiting = {i: js[4:] for i, js in waiting.items() if not found[i] and len(js) > 4}
+        return part.loc[found, ["k1", "k2"]]
+
+    return later
+
+
 def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """k1, k2 of the distinct lines with a near copy that comes earlier."""
     own = edits + 1
-    entered = firsts.select("k1", "k2", F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0")
+    # copies count too here, so this only errs towards blocks
+    often = lines.select(F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").groupBy("seg").agg(F.count(F.lit(1)).alias("c"))
+    crowded = stage(often.filter(F.col("c") > FEW_LINES).select("seg"), "crowded")
+    entered = firsts.select("k1", "k2", F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").join(_small(crowded), "seg", "left_anti")
     looked = firsts.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.explode("segs").alias("seg")).filter("seg != 0")
     met = entered.join(looked, "seg").filter((F.col("k1") != F.col("q1")) | (F.col("k2") != F.col("q2")))
     # one row per pair, whichever way round it met
@@ -222,26 +278,31 @@ def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFr
     pair = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
     pairs = stage(met.select(
         pair("k1", "q1").alias("a1"), pair("k2", "q2").alias("a2"), pair("q1", "k1").alias("b1"), pair("q2", "k2").alias("b2")).distinct(), "line-pairs")
-    asked = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(
-        pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2"))).distinct()
-    places = stage(firsts.select("k1", "k2", "f").join(asked, ["k1", "k2"]), "line-places")
-    texts = _line_texts(docs, key, text, places.select("f.rk", "f.no"))
-    known = stage(places.join(texts, ["k1", "k2"]), "line-texts")
+    known = _known(docs, key, text, lines, pairs.select(F.explode(F.array(
+        F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("x")).select("x.*"))
     side = lambda s: known.select(
         F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"l{s}"), F.col("f").alias(f"f{s}"))
     both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
-    # lines of one place and length may meet without being alike
     good = _verified(both, edits)
     later = F.col("fa") > F.col("fb")
-    return good.select(
-        F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("k1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2")).distinct()
+    out = good.select(
+        F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("k1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2"))
+    # lines at crowded keys, in pairs of blocks
+    crowd = lines.select("k1", "k2", F.explode("segs").alias("seg")).join(_small(crowded), "seg", "left_semi").distinct()
+    sizes = crowd.groupBy("seg").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("blocks", F.ceil(F.col("c") / F.lit(float(BLOCK_LINES))).cast("int"))
+    crowd = stage(crowd.join(sizes.drop("c"), "seg"), "crowd")
+    texts = _known(docs, key, text, lines, crowd.select("k1", "k2")).select("k1", "k2", "line", "f.*")
+    dealt = crowd.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
+    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "seg", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "k1", "k2")
+    crowded_out = tasks.join(texts, ["k1", "k2"]).groupBy("seg", "b1", "b2").applyInPandas(_later_in_blocks(edits), "k1 long, k2 long")
+    return out.unionByName(crowded_out).distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> DataFrame:
     """Per document with lines to drop: rk, exact and near (line numbers from 0, ascending)."""
     lines = stage(_lines(docs, key, text, edits), "lines")
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no"), F.col("rk")).alias("f")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("c"), F.first("segs").alias("segs"))
+    firsts = lines.groupBy("k1", "k2").agg(_first_place(), F.count(F.lit(1)).alias("c"), F.first("segs").alias("segs"))
     near = stage(_near(docs, key, text, lines, firsts, edits), "near-lines").withColumn("near", F.lit(True))
     judged = firsts.drop("segs").join(near, ["k1", "k2"], "left").filter((F.col("c") > 1) | F.col("near"))
     judged = stage(judged.select("k1", "k2", F.col("f.rk").alias("frk"), F.col("f.no").alias("fno"), F.coalesce("near", F.lit(False)).alias("near")), "judged")

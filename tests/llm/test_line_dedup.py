@@ -16,7 +16,7 @@ def distance(a, b):
     return p[-1]
 
 
-def close(a, b, edits):
+def within(a, b, edits):
     """Whether a and b are within ``edits``; unlike ones are mostly told by length and letters."""
     if abs(len(a) - len(b)) > edits:
         return False
@@ -62,7 +62,7 @@ def brute(rows, edits=2):
             if ld.eligible(line) and (line not in first or (none, k, no) < first[line][:3]):
                 first[line] = (none, k, no, t)
     order = sorted(first, key=lambda x: first[x][:3])
-    near = {x for i, x in enumerate(order) if any(close(x, y, edits) for y in order[:i])}
+    near = {x for i, x in enumerate(order) if any(within(x, y, edits) for y in order[:i])}
     for none, k, t in docs:
         exact = [no for no, x in enumerate(t.split("\n")) if ld.eligible(x) and first[x] != (none, k, no, t)]
         close = [no for no, x in enumerate(t.split("\n")) if ld.eligible(x) and first[x] == (none, k, no, t) and x in near]
@@ -81,11 +81,16 @@ def corpus():
             x = rng.choice(pool) if rng.random() < 0.5 else line()
             lines.append(edited(rng, x, rng.randrange(0, 4)) if rng.random() < 0.5 else x)
         rows.append((i * 2, "\n".join(lines)))
+    similar = pool[1] + " and more words"
+    rows += [(500 + i, edited(rng, similar, rng.randrange(0, 3))) for i in range(40)]
     rows += [(1001, None), (1002, ""), (1003, "\n\n"), (1004, rows[3][1]), (None, rows[4][1]), (1005, pool[0] + "\n" + pool[0]), (1006, "short line\nshort line"), (1007, "  \t \r" * 20)]
     return rows
 
 
-def test_report_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [32, 2, 0])
+def test_report_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(ld, "FEW_LINES", few)  # 0: every key is crowded
+    monkeypatch.setattr(ld, "BLOCK_LINES", 5)
     rows = corpus()
     df = spark.createDataFrame([(k, t, "x") for k, t in rows] + [(1002, "", "y")], "doc_id long, text string, no string").repartition(4)
     got = ld.dedup_report(df, "doc_id", "text").collect()

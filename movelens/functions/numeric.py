@@ -82,17 +82,36 @@ def interp(value: Column, points: Column) -> Column:
     return F.when(value.isNotNull() & points.isNotNull(), found)
 
 
+def fixed_text(value: Column, digits: int, form: str = "%s", sign: str = "") -> Column:
+    """``value`` with a fixed number of decimals, exact halves to the even side.
+
+    What counts is the value's exact binary form: the product with the power of
+    ten is taken with its rounding error, which tells on which side of a half
+    it lies. ``form`` goes around the number, ``sign`` is a format flag.
+    """
+    scale = float(10**digits)
+    product = value * scale
+    big = value * 134217729.0  # splits the 53 bits in two halves
+    high = big - (big - value)
+    error = (high * scale - product) + (value - high) * scale
+    half = product - F.floor(product) == 0.5
+    nearest = (
+        F.when(half & (error > 0), F.ceil(product)).when(half & (error < 0), F.floor(product)).otherwise(F.rint(product))
+    )
+    return F.format_string(form.replace("%s", f"%{sign}.{digits}f"), nearest / scale)
+
+
 def money_label(c: Column, currency: str = "EUR") -> Column:
     """Short amount: "free", "€0.3m", "€50m", "€2.05b"."""
     rate, sign = fv.EXCHANGE_RATES[currency]
     v = c * rate
     m = v / 1_000_000
-    small = F.format_string(f"{sign}%.1fm", m)
+    small = fixed_text(m, 1, f"{sign}%sm")
     return (
         F.when(c.isNull() | (c == 0), "free")
-        .when(F.abs(v) >= 1_000_000_000, F.format_string(f"{sign}%.2fb", v / 1_000_000_000))
+        .when(F.abs(v) >= 1_000_000_000, fixed_text(v / 1_000_000_000, 2, f"{sign}%sb"))
         .when(m < 1, small)
-        .otherwise(F.format_string(f"{sign}%.0fm", m))
+        .otherwise(fixed_text(m, 0, f"{sign}%sm"))
     )
 
 
@@ -120,12 +139,15 @@ def ordinal(c: Column) -> Column:
 def feature_label(feature: str, value: Column) -> Column:
     """A model feature's value in readable form."""
     if feature in ("log_transfer_fee", "log_value_before", "log_from_club_value", "log_to_club_value"):
-        amount = F.format_string("€%.1fm", F.expm1(value) / 1_000_000)
+        amount = fixed_text(F.expm1(value) / 1_000_000, 1, "€%sm")
         return F.when(value == 0, "free").otherwise(amount) if feature == "log_transfer_fee" else amount
     formats = {
-        "age_at_transfer": "%.1f yrs", "height_vs_position": "%+.0f cm",
-        "pre_ga_p90": "%.2f per 90", "pre_goals_p90": "%.2f per 90", "pre_apps": "%.0f apps",
-        "pre_minutes": "%.0f mins", "pre_mins_per_app": "%.0f min/app",
-        "fee_to_value_ratio": "%.2f×", "club_quality_ratio": "%.2f×",
+        "age_at_transfer": (1, "%s yrs", ""), "height_vs_position": (0, "%s cm", "+"),
+        "pre_ga_p90": (2, "%s per 90", ""), "pre_goals_p90": (2, "%s per 90", ""), "pre_apps": (0, "%s apps", ""),
+        "pre_minutes": (0, "%s mins", ""), "pre_mins_per_app": (0, "%s min/app", ""),
+        "fee_to_value_ratio": (2, "%s×", ""), "club_quality_ratio": (2, "%s×", ""),
     }
-    return F.format_string(formats[feature], value) if feature in formats else value.cast("string")
+    if feature not in formats:
+        return value.cast("string")
+    digits, form, sign = formats[feature]
+    return fixed_text(value.cast("double"), digits, form, sign)

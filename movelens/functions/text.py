@@ -69,9 +69,16 @@ def fold(c: Column) -> Column:
     return F.lower(strip_accents(c))
 
 
+@lru_cache(maxsize=1)
+def _fold_table() -> dict[int, str]:
+    letters, bases, several = _fold_maps()
+    table = {ord(ch): bases[i] if i < len(bases) else "" for i, ch in enumerate(letters)}
+    return table | {ord(ch): base for ch, base in several}
+
+
 def fold_text(value: str) -> str:
-    """:func:`fold` for a literal search term."""
-    return _base(value).lower()
+    """:func:`fold` for a literal search term: by the same table, so that what is kept in a text is kept here."""
+    return value.translate(_fold_table()).lower()
 
 
 def has_text(c: Column, term: str) -> Column:

@@ -68,10 +68,13 @@ def pct_rank(
     ranks = value_counts(df.select(*by, "_rv"), "_rv", by, skew=skew).select(
         *[F.col(b).alias(n) for b, n in zip(by, names)], F.col("_rv").alias("_v"), rank_share().alias(out)
     )
-    on = F.col("_rv") == F.col("_v")
+    # rows that are not ranked match nothing; spread by their content they do not meet in one task
+    spread = F.when(F.col("_rv").isNull(), F.xxhash64(*[F.col(c) for c in df.columns])).otherwise(F.lit(0))
+    df, ranks = df.withColumn("_rs", spread), ranks.withColumn("_s", F.lit(0).cast("long"))
+    on = (F.col("_rv") == F.col("_v")) & (F.col("_rs") == F.col("_s"))
     if by:
         on = on & _same_keys(by, names)
-    ranked = df.join(ranks, on, "left").drop("_rv", "_v", *names)
+    ranked = df.join(ranks, on, "left").drop("_rv", "_v", "_rs", "_s", *names)
     if other is not None:
         ranked = ranked.withColumn(out, F.when(where, F.col(out)).otherwise(other))
     return ranked

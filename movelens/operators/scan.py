@@ -23,13 +23,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from movelens.sources.staging import stage
+
 
 @dataclass(frozen=True)
 class Skew:
     """How a scan guards against hot keys.
 
     hot_rows      a key with more rows than this is cut into segments
-    pieces        segments per hot key
+    pieces        segments per hot key at least; more where the largest key has
+                  more than ``pieces`` times ``hot_rows`` rows
     rows_at_most  known upper bound on the input's rows; at or below
                   ``hot_rows`` no key can be hot, and the counting pass is saved
     max_broadcast hot keys whose boundaries may be broadcast; beyond it the
@@ -86,33 +89,47 @@ def _same_keys(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
 
 
+def _pieces(rows: int, skew: Skew) -> int:
+    """Segments for a key of so many rows: none has far more than ``hot_rows``."""
+    return max(skew.pieces, min(10_000, -(-rows // max(1, skew.hot_rows))))
+
+
 def _with_segments(df: DataFrame, by: list[str], skew: Skew) -> DataFrame | None:
-    """Add ``_bounds`` (null for ordinary keys) and ``_seg``; None if no key is hot."""
+    """Add ``_bounds`` (null for ordinary keys) and ``_seg``; None if no key is hot.
+
+    With a hot key the rows are written once: bounds, summary and rows all read
+    that table, so that chained scans do not multiply their plans.
+    """
     if skew.rows_at_most is not None and skew.rows_at_most <= skew.hot_rows:
         return None
+    pieces = skew.pieces
     if not by:
-        bounds = df.agg(_boundaries("_ord", skew.pieces).alias("b"))
+        df = stage(df, "scan")
+        pieces = _pieces(df.count(), skew)
+        bounds = df.agg(_boundaries("_ord", pieces).alias("b"))
         out = df.withColumn("_bounds", bounds.scalar())
     else:
-        hot = df.groupBy(*by).count().filter(F.col("count") > skew.hot_rows).drop("count")
-        n_hot = hot.limit(skew.max_broadcast + 1).count()
-        if n_hot == 0:
+        counts = df.groupBy(*by).count().filter(F.col("count") > skew.hot_rows)
+        found = counts.agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("rows")).first()
+        if found.n == 0:
             return None
-        few = n_hot <= skew.max_broadcast
+        df = stage(df, "scan")
+        pieces = _pieces(found.rows, skew)
+        few = found.n <= skew.max_broadcast
         names = [f"_hot_key{i}" for i in range(len(by))]
-        hot = hot.toDF(*names)
+        hot = df.groupBy(*by).count().filter(F.col("count") > skew.hot_rows).drop("count").toDF(*names)
         bounds = (
             df.select(*by, "_ord")
             .join(F.broadcast(hot) if few else hot, _same_keys(by, names), "left_semi")
             .groupBy(*by)
-            .agg(_boundaries("_ord", skew.pieces).alias("_bounds"))
+            .agg(_boundaries("_ord", pieces).alias("_bounds"))
             .toDF(*names, "_bounds")
         )
         out = df.join(F.broadcast(bounds) if few else bounds, _same_keys(by, names), "left").drop(*names)
     return out.withColumn(
         "_seg",
         F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-            bucket_of(F.col("_bounds"), F.col("_ord"), skew.pieces)
+            bucket_of(F.col("_bounds"), F.col("_ord"), pieces)
         ),
     )
 

@@ -15,33 +15,32 @@ from movelens.operators.windows import TimeWindow, disjoint_window_agg, window_s
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-_ROWS: dict[str, int] = {}
-# Table handles by application and path: their schemas are read once.
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 NOW = "2024-02-01 00:00:00"
 
 
 class Tables:
-    """The driver's tables of one folder."""
+    """The driver's tables of one folder, as they are when a query is built."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
+        self._rows: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, f"{self.path}/{name}.parquet")
-        if key not in _FRAMES:
-            _FRAMES[key] = self.spark.read.parquet(key[1])
-        return _FRAMES[key]
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return self._frames[name]
 
     def skew(self, *names: str) -> Skew:
         """Guard with the tables' row count, which Parquet footers give for free."""
         total = 0
         for n in names:
-            path = f"{self.path}/{n}.parquet"
-            if path not in _ROWS:
-                _ROWS[path] = getattr(self, n).count()
-            total += _ROWS[path]
+            if n not in self._rows:
+                self._rows[n] = getattr(self, n).count()
+            total += self._rows[n]
         return Skew(rows_at_most=total)
 
 

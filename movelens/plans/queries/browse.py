@@ -104,15 +104,16 @@ def top_k_per_group(t: Tables) -> DataFrame:
 @query("display_values", """
 SELECT o_orderkey, CASE WHEN o_totalprice / 100 > 0 AND round_even(o_totalprice / 100, -3) <= 0 THEN 1000.0 ELSE round_even(o_totalprice / 100, -3) END AS rounded,
   round(o_totalprice * 1.16, 6) AS usd,
-  CASE WHEN o_totalprice * 100 < 1000000 THEN '€' || format('{:.1f}', o_totalprice * 100 / 1000000) || 'm' ELSE '€' || format('{:.0f}', floor(o_totalprice * 100 / 1000000)) || 'm' END AS label,
+  CASE WHEN o_totalprice * 100 < 1000000 THEN '€' || format('{:.1f}', o_totalprice * 100 / 1000000) || 'm' ELSE '€' || format('{:.0f}', o_totalprice * 100 / 1000000) || 'm' END AS label,
+  CASE WHEN o_orderkey % 300 = 0 THEN 'free' WHEN (o_orderkey % 300) * 50000 < 1000000 THEN '€' || format('{:.1f}', (o_orderkey % 300) * 50000.0::DOUBLE / 1000000) || 'm'
+    ELSE '€' || format('{:.0f}', (o_orderkey % 300) * 50000.0::DOUBLE / 1000000) || 'm' END AS half_label,
   o_orderkey % 200 || CASE WHEN (o_orderkey % 200) % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS place
 FROM orders""")
 def display_values(t: Tables) -> DataFrame:
     """Display rounding, currency, money labels and ordinals."""
-    whole = F.col("o_totalprice") * 100
-    amount = F.when(whole < 1_000_000, whole).otherwise(F.floor(whole / 1_000_000) * 1_000_000.0)
+    halves = (F.col("o_orderkey") % 300) * 50_000.0  # many lie half-way between two labels
     return t.orders.select(
         "o_orderkey", safe_round(F.col("o_totalprice") / 100, -3).alias("rounded"),
-        F.round(convert(F.col("o_totalprice"), F.lit("USD")), 6).alias("usd"), money_label(amount).alias("label"),
+        F.round(convert(F.col("o_totalprice"), F.lit("USD")), 6).alias("usd"), money_label(F.col("o_totalprice") * 100).alias("label"), money_label(halves).alias("half_label"),
         ordinal((F.col("o_orderkey") % 200).cast("double")).alias("place"),
     )

@@ -156,3 +156,32 @@ def test_interpolation_like_numpy(spark, points):
     d = spark.createDataFrame([(x,) for x in xs], "x double").withColumn("p", F.array(*[F.lit(float(p)) for p in points]))
     got = [r[0] for r in d.orderBy("x").select(interp(F.col("x"), F.col("p"))).collect()]
     assert np.allclose(got, np.interp(xs, points, range(len(points))))
+
+
+def test_labels_round_exact_halves_to_even(spark):
+    from movelens.functions.numeric import fixed_text, money_label
+
+    amounts = [float(x) for x in (50_000 * i for i in range(0, 1400))] + [999_999.0, 1e9, 1_005_000_000.0, 2_345_678_901.0, -350_000.0, -2_500_000.0]
+    df = spark.createDataFrame([(x,) for x in amounts], "x double")
+
+    def expected(x):
+        m = x / 1_000_000
+        if x == 0:
+            return "free"
+        if abs(x) >= 1_000_000_000:
+            return f"€{x / 1_000_000_000:.2f}b"
+        return f"€{m:.1f}m" if m < 1 else f"€{m:.0f}m"
+
+    assert {r.x: r.t for r in df.select("x", money_label(F.col("x")).alias("t")).collect()} == {x: expected(x) for x in amounts}
+    values = [0.125, 0.375, 2.675, 1.005, 0.5, 1.5, 2.5, -0.5, 12.345, 1e-9, 0.285]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed_text(F.col("v"), 2).alias("t"), fixed_text(F.col("v"), 0, "%s cm", "+").alias("s")).collect()
+    assert [(r.t, r.s) for r in got] == [(f"{r.v:.2f}", f"{r.v:+.0f} cm") for r in got]
+
+
+def test_search_finds_what_is_in_the_text(spark):
+    from movelens.functions.text import has_text
+
+    names = ["한국 FC", "\U0001d400\U0001d401 club", "São Paulo", "Œuvre", "Straße"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for term, found in (("한국", "한국 FC"), ("\U0001d400", "\U0001d400\U0001d401 club"), ("sao", "São Paulo"), ("SÃO", "São Paulo")):
+        assert [r.n for r in df.filter(has_text(F.col("n"), term)).collect()] == [found]

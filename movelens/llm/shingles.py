@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer single text is a part of its own.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from movelens.llm.text_ids import small_batches
+
 #: Words kept between batches in one Python worker, and words handled at a time in one text.
 CACHE_WORDS = 400_000
 CHUNK_CHARS = 1_000_000
@@ -232,6 +234,7 @@ def vocabulary_source(path: str) -> str:
 
 def with_tokens(df: DataFrame, text: str, path: str, ids: str = "token_ids", back: str | None = None) -> DataFrame:
     """Adds the token ids of a text column as an array, and with ``back`` a column of the text decoded from them."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_source(path))
     keep = [c for c in df.columns if c not in (ids, back)]
     added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(back, T.StringType())] if back else [])]
@@ -265,6 +268,7 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def decoded(df: DataFrame, ids: str, path: str, text: str = "text") -> DataFrame:
     """Adds the text that an array of token ids stands for."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_source(path))
     keep = [c for c in df.columns if c != text]
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(text, T.StringType())])
@@ -282,6 +286,7 @@ def decoded(df: DataFrame, ids: str, path: str, text: str = "text") -> DataFrame
 
 def encoding_digests(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """Per row: number of tokens, digest of the ids, digest of the text decoded from them."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_source(path))
     fields = [df.select(key).schema.fields[0], *[T.StructField(n, t) for n, t in (
         ("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from movelens.llm.text_ids import whole_text
+from movelens.llm.text_ids import small_batches, whole_text
 
 #: Pages that the weights are learned from at most (those of the smallest hash).
 SAMPLE_PAGES = 1000
@@ -243,4 +243,5 @@ def text_column(page: Column, weights: dict[str, float]) -> Column:
 
 def extract(pages: DataFrame, page: str, out: str = "text") -> DataFrame:
     """``pages`` with the main text of each."""
+    small_batches(pages.sparkSession)
     return pages.withColumn(out, text_column(whole_text(page), learn_weights(pages, page)))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.llm.shingles import mixed, powers
-from movelens.llm.text_ids import free_name, row_key, whole_text
+from movelens.llm.text_ids import free_name, row_key, small_batches, whole_text
 from movelens.sources.staging import stage
 
 EDITS, MIN_WORDS, MIN_CHARS = 2, 5, 20
@@ -301,6 +301,7 @@ def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFr
 
 def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> DataFrame:
     """Per document with lines to drop: rk, exact and near (line numbers from 0, ascending)."""
+    small_batches(docs.sparkSession)
     lines = stage(_lines(docs, key, text, edits), "lines")
     firsts = lines.groupBy("k1", "k2").agg(_first_place(), F.count(F.lit(1)).alias("c"), F.first("segs").alias("segs"))
     near = stage(_near(docs, key, text, lines, firsts, edits), "near-lines").withColumn("near", F.lit(True))

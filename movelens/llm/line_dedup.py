@@ -1,10 +1,11 @@
 """Line dedup: exact copies by hash, near copies by a segment-partition edit join.
 
-A line is dropped if an equal line, or one within ``edits`` edits (code points),
-comes earlier, in the order of document id and line number. Lines of fewer than
-``MIN_WORDS`` words or ``MIN_CHARS`` characters are never dropped nor compared.
+A line is dropped if an equal line comes earlier, in the order of document id
+and line number, or if it has ``MIN_CHARS`` code points or more and another such
+line within ``edits`` edits (code points) comes earlier. Exact copies go whatever
+their length; only blank lines are never dropped nor compared.
 
-For the join each distinct line is cut into edits + 1 segments. Two lines within
+For the join each distinct line of ``MIN_CHARS`` or more is cut into edits + 1 segments. Two lines within
 the distance share at least one segment unchanged, at a place that the number of
 segments before and after it confines. So each line is entered under its own
 segments (with its length) and looked up under the substrings it has where a
@@ -35,7 +36,7 @@ from movelens.llm.shingles import mixed, powers
 from movelens.llm.text_ids import free_name, row_key, small_batches, whole_text
 from movelens.sources.staging import stage
 
-EDITS, MIN_WORDS, MIN_CHARS = 2, 5, 20
+EDITS, MIN_CHARS = 2, 20
 #: Lines entered under a key up to which all pairs meet, and lines of a block beyond that.
 FEW_LINES, BLOCK_LINES = 32, 1024
 #: Ids of keys and lines that are broadcast at most (16 bytes each).
@@ -48,7 +49,13 @@ _U = np.uint64
 
 
 def eligible(line: str) -> bool:
-    return len(line) >= MIN_CHARS and len(line.split(None, MIN_WORDS)) >= MIN_WORDS
+    """Whether exact copies of a line are dropped."""
+    return bool(line) and not line.isspace()
+
+
+def compared(line: str) -> bool:
+    """Whether a line takes part in the edit join too: it has MIN_CHARS code points, words or not."""
+    return len(line) >= MIN_CHARS and eligible(line)
 
 
 def line_keys(line: str) -> tuple[int, int]:
@@ -150,13 +157,15 @@ def edit_distance_within(a: list[str], b: list[str], most: int) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, key: str, text: str, edits: int) -> DataFrame:
-    """Every line that counts: id, rk, no (from 0), k1, k2 and its segment keys."""
+    """Every line that is not blank: id, rk, no (from 0), k1, k2 and its segment keys (none for a line that is not compared)."""
     id_type = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed() -> pa.RecordBatch:
-            keys = segment_keys(lines, edits).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
+            long = np.array([compared(x) for x in lines], bool)
+            keys = segment_keys([x for x, n in zip(lines, long, strict=True) if n], edits).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(long)]).astype(np.int32) * np.int32(keys.shape[1])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
             k = np.array([line_keys(x) for x in lines], np.int64).reshape(-1, 2)
             at = pa.array(rows, pa.int64())
             return pa.RecordBatch.from_arrays([
@@ -303,9 +312,11 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> D
     """Per document with lines to drop: rk, exact and near (line numbers from 0, ascending)."""
     small_batches(docs.sparkSession)
     lines = stage(_lines(docs, key, text, edits), "lines")
-    firsts = lines.groupBy("k1", "k2").agg(_first_place(), F.count(F.lit(1)).alias("c"), F.first("segs").alias("segs"))
-    near = stage(_near(docs, key, text, lines, firsts, edits), "near-lines").withColumn("near", F.lit(True))
-    judged = firsts.drop("segs").join(near, ["k1", "k2"], "left").filter((F.col("c") > 1) | F.col("near"))
+    joined = lines.filter(F.size("segs") > 0)
+    distinct = joined.groupBy("k1", "k2").agg(F.first("segs").alias("segs"))
+    near = stage(_near(docs, key, text, joined, distinct, edits), "near-lines").withColumn("near", F.lit(True))
+    firsts = lines.groupBy("k1", "k2").agg(_first_place(), F.count(F.lit(1)).alias("c"))
+    judged = firsts.join(near, ["k1", "k2"], "left").filter((F.col("c") > 1) | F.col("near"))
     judged = stage(judged.select("k1", "k2", F.col("f.rk").alias("frk"), F.col("f.no").alias("fno"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
     copies = lines.select("rk", "no", "k1", "k2").join(judged, ["k1", "k2"])
     again = (F.col("rk") != F.col("frk")) | (F.col("no") != F.col("fno"))

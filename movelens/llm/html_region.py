@@ -1,8 +1,12 @@
 """Main text of a page by a maximum-scoring region.
 
 A page is a sequence of words and tags. Elements that are never article text
-(scripts, menus, headers and footers, sidebars, notices, adverts, forms,
-comments) are taken out with all they hold. What is left is scored: words are
+(scripts, menus, headers and footers, sidebars) are taken out with all they
+hold. So are forms and what class, id or role name as a notice, advert or the
+like, if they hold no article, main or h1 and at most ``SMALL_SHARE`` of the
+page's words, or stand outside a marked article and have fewer words than it or
+than ``FEW_WORDS``; others only count against the stretch that crosses into them.
+What is left is scored: words are
 positive, less so in links and outside paragraphs, tags negative. One linear
 scan finds the contiguous stretch of the highest sum, and its blocks are the text.
 
@@ -33,7 +37,7 @@ from movelens.llm.text_ids import small_batches, whole_text
 SAMPLE_PAGES = 1000
 
 # Elements without article text, and words of class, id or role that name such elements.
-DROPPED = frozenset("script style noscript template head title nav aside form footer header button select textarea svg iframe object canvas menu dialog".split())
+DROPPED = frozenset("script style noscript template head title nav aside footer header button select textarea svg iframe object canvas menu dialog".split())
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar aside header footer masthead comment comments respond reply replies disqus notice notices cookie cookies consent gdpr popup modal "
@@ -46,50 +50,80 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements that end where one of the same kind begins.
 SELF_ENDING = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
+#: Share of a page's words up to which a form or named element without article, main or h1 is taken out.
+SMALL_SHARE = 0.3
+#: Words below which such an element is taken out of a page that marks an article elsewhere, however short that is.
+FEW_WORDS = 50
+#: What stands in the sequence where a larger one begins.
+LARGE = "<:named"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|noscript|textarea|title|iframe|template|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=<>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 Token = tuple[str, str]
 
 
-def _unwanted(name: str, attrs: str, inside: set[str]) -> bool:
+def _unwanted(name: str, attrs: str, inside: set[str]) -> tuple[bool, bool]:
+    """Whether an element never is article text, and whether it only looks so (a form, or by its names)."""
     if name == "header" and inside & CONTENT:
-        return False  # a heading of the article itself
+        return False, False  # a heading of the article itself
     if name in DROPPED:
-        return True
+        return True, False
     if not attrs or name in CONTENT or name in ("body", "html"):
-        return False
-    for m in _NAMES.finditer(attrs):
-        value = m.group(1) or m.group(2) or m.group(3) or ""
-        if any(part.lower() in NAMED for part in _PARTS.findall(value)):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true", attrs, re.I) is not None
+        return False, name == "form"
+    named = name == "form"
+    for m in _ATTR.finditer(attrs):
+        key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if key == "hidden" or (key == "aria-hidden" and value.lower().startswith("true")):
+            return True, False
+        if key in ("class", "id", "role"):
+            named = named or any(part.lower() in NAMED for part in _PARTS.findall(value))
+    return False, named
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, wanted): kind is ``w`` for text in a paragraph-like block, ``l`` for text in a link, ``o`` for other
-    text, else ``<name`` or ``>name`` for a tag. Elements with an end somewhere are dropped up to it."""
-    opened: list[tuple[str, bool]] = []  # name, whether the element is unwanted
+    text, ``LARGE`` where a large named element begins, else ``<name`` or ``>name`` for a tag. Elements with an end
+    somewhere are dropped up to it."""
+    named: dict[int, bool] = {}
+    found = list(_walk(page, named, {}))
+    return iter(found) if not named else _walk(page, {}, named)
+
+
+def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterator[tuple[str, str, bool]]:
+    """The tokens. ``named`` gets, by place, whether each form or named element is to be dropped; ``judged`` has it from a first walk."""
+    at_open: dict[int, tuple[int, int]] = {}  # words and headings before
+    extent: dict[int, tuple[int, int, bool]] = {}
+    words = heads = marked = 0
+    opened: list[tuple[str, bool, int]] = []  # name, whether the element is unwanted, place
     bad = 0
     at = 0
     closers = Counter(m.lower() for m in re.findall(r"</\s*([a-zA-Z][a-zA-Z0-9:-]*)", page))
 
     def text(s: str) -> Iterator[tuple[str, str, bool]]:
+        nonlocal words
         if s:
-            names = [n for n, _ in opened]
+            words += 0 if bad else len(s.split())
+            names = [n for n, _, _ in opened]
             kind = "l" if "a" in names else "w" if any(n in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "dd") for n in names) else "o"
             yield kind, s, not bad
 
     def pop(down_to: int) -> None:
-        nonlocal bad
+        nonlocal bad, marked
         while len(opened) > down_to:
-            bad -= opened.pop()[1]
+            name, unwanted, place = opened.pop()
+            bad -= unwanted
+            if place in at_open:
+                n = words - at_open[place][0]
+                if name in CONTENT:
+                    marked = max(marked, n)
+                else:
+                    extent[place] = n, heads - at_open[place][1], any(x in CONTENT for x, _, _ in opened)
 
     for m in _TOKEN.finditer(page):
         yield from text(page[at:m.start()])
@@ -123,18 +157,29 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                     break
                 if opened[i][0] in BLOCKS:
                     break
-        unwanted = _unwanted(name, m.group("attrs"), {n for n, _ in opened})
+        heads += name in CONTENT or name == "h1"
+        unwanted, looks = _unwanted(name, m.group("attrs"), {n for n, _, _ in opened})
+        place = m.start()
+        ends = name in SELF_ENDING or closers[name] > 0
+        if looks and ends:
+            unwanted = judged.get(place, False)
+            if place in judged and not unwanted:
+                yield LARGE, "", not bad
         if unwanted and name not in SELF_ENDING and closers[name] <= 0 and name not in ("footer", "nav"):
             unwanted = False  # it never ends: leave out no more than its tag
         yield f"<{name}", "", not bad and not unwanted
         if name not in VOID and not m.group("attrs").endswith("/"):
-            opened.append((name, unwanted))
+            opened.append((name, unwanted, place))
             bad += unwanted
+            if name in CONTENT or (looks and ends):
+                at_open[place] = words, heads - (name == "h1")
     rest = page[at:]
     if "<" in rest:  # a tag that was cut off
         cut = re.search(r"<[a-zA-Z/!?]", rest)
         rest = rest[:cut.start()] if cut else rest
     yield from text(rest)
+    pop(0)
+    named.update((k, not h and (n <= SMALL_SHARE * words or (marked and not i and n < max(marked, FEW_WORDS)))) for k, (n, h, i) in extent.items())
 
 
 def kinds_of(page: str) -> Iterator[tuple[str, int, bool]]:
@@ -155,12 +200,15 @@ TEXT_TAGS = frozenset(
     "p br b i u em strong span a h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre code table thead tbody tr td th caption figure figcaption "
     "sub sup small q cite abbr time mark article main img hr".split())
 TEXT_TAG, OTHER_TAG = -0.05, -1.0
+NAMED_TAG = -4.0
 LEAST, MOST, SHARPEST_TAG = 0.2, 4.0, -4.0
 #: Occurrences that count as much as the weight a kind starts from.
 BELIEF = 20
 
 
 def tag_weight(kind: str) -> float:
+    if kind == LARGE:
+        return NAMED_TAG
     return TEXT_TAG if kind[1:] in TEXT_TAGS else OTHER_TAG
 
 

@@ -59,7 +59,7 @@ LARGE = "<:named"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|textarea|title|iframe|template|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I)
 _ATTR = re.compile(r"([^\s=<>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -143,6 +143,13 @@ def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterato
                     break
             yield f">{name}", "", wanted
             continue
+        if name in BLOCKS:  # a block ends a drawing that was left open
+            for i in range(len(opened) - 1, -1, -1):
+                if opened[i][0] == "svg":
+                    pop(i)
+                    break
+                if opened[i][0] in ("foreignobject", "desc"):
+                    break
         if name in SELF_ENDING:
             for i in range(len(opened) - 1, -1, -1):
                 if opened[i][0] == name:
@@ -165,10 +172,11 @@ def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterato
             unwanted = judged.get(place, False)
             if place in judged and not unwanted:
                 yield LARGE, "", not bad
-        if unwanted and name not in SELF_ENDING and closers[name] <= 0 and name not in ("footer", "nav"):
+        empty = name in VOID or m.group("attrs").endswith("/")
+        if unwanted and not empty and name not in SELF_ENDING and closers[name] <= 0 and name not in ("footer", "nav"):
             unwanted = False  # it never ends: leave out no more than its tag
         yield f"<{name}", "", not bad and not unwanted
-        if name not in VOID and not m.group("attrs").endswith("/"):
+        if not empty:
             opened.append((name, unwanted, place))
             bad += unwanted
             if name in CONTENT or (looks and ends):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from movelens.llm import (
     bpe,
     decontaminate,
+    grace_dedup,
     host_reputation,
     html_region,
     jaccard_join,
@@ -214,3 +215,18 @@ def op9_line_edit_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of eight, its slot there, and its shard if one is added."""
     return sharding.shard_manifest(_table(spark, folder, "documents"), "doc_id", "text", 8)
+
+
+@_query
+def op13_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents with equal texts (A-Z in lower case); of each the largest id stays."""
+    return grace_dedup.exact_groups(_table(spark, folder, "documents"), "doc_id", "text")
+
+
+SQL["op13_grace_dedup"] = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM t
+"""

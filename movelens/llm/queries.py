@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from movelens.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     grace_dedup,
     host_reputation,
@@ -230,3 +231,82 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM t
 """
+
+
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with rows dropped (``gone``), emptied, cut, repeated or given the role user, by the checksum of id and turn."""
+    place = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    kind = F.pmod(F.crc32(place.cast("binary")), F.lit(20))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    return conversations.select(
+        "conv_id", "turn", F.when(kind == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(kind == 1, F.lit("")).when(kind == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("gone"), F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+@_query
+def op11_audit_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation, and the cheapest edits that repair its structure."""
+    rows = _damaged(_table(spark, folder, "conversations"))
+    return conversation_repair.repair_report(rows, "conv_id", "turn", "role", "text", F.col("gone"))
+
+
+SQL["op11_audit_repair"] = r"""
+WITH RECURSIVE tbl AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations),
+crc AS (
+  SELECT src.*, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(place) + 1), lambda i: ascii(place[i])::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM src, tbl),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM crc WHERE kind <> 0),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    left(role, 1) AS c, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM dam),
+rows0 AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS c0 FROM num),
+flagged AS (
+  SELECT conv_id, turn, role, text, i, c, c0, shown = '' AS blank, shown <> '' AND again AS dup,
+    shown <> '' AND NOT again AND right(shown, 1) NOT IN ('.', '!', '?') AS cut FROM rows0),
+ins(s0, s1, n, lines) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 1, chr(10) || 'user:'),
+  (0, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 2, 1, chr(10) || 'user:'), (1, 3, 2, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 3, 1, chr(10) || 'assistant:'), (3, 2, 1, chr(10) || 'user:')),
+ops(s1, letter, c, s2) AS (VALUES (0, 'D', NULL, 0), (1, 'D', NULL, 1), (2, 'D', NULL, 2), (3, 'D', NULL, 3), (0, 'K', 's', 1), (0, 'K', 'u', 2),
+  (1, 'K', 'u', 2), (3, 'K', 'u', 2), (2, 'K', 'a', 3), (0, 'R', NULL, 2), (1, 'R', NULL, 2), (3, 'R', NULL, 2), (2, 'R', NULL, 3)),
+moves AS (SELECT s0, n, lines, letter, c, s2 FROM ins JOIN ops ON ops.s1 = ins.s1),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+total AS (SELECT conv_id, max(i) AS m FROM flagged GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS s, lpad('0', 12, '0') AS best, '' AS said FROM ids
+  UNION ALL
+  SELECT conv_id, i, s, min(k) AS best, arg_min(said, k) AS said FROM (
+    SELECT f.conv_id, f.i, m.s2 AS s,
+      lpad((dp.best[:12]::BIGINT + 3 * m.n + CASE m.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN f.cut AND m.letter <> 'D' THEN 3 ELSE 0 END)::VARCHAR, 12, '0')
+        || dp.best[13:] || repeat('I', m.n) || m.letter AS k,
+      dp.said || m.lines || CASE m.letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text
+        ELSE chr(10) || CASE m.s2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text END AS said
+    FROM dp JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1
+    JOIN moves m ON m.s0 = dp.s AND (m.letter = 'D' OR (NOT f.blank AND NOT f.dup AND (m.letter = 'R' OR m.c = f.c))))
+  GROUP BY conv_id, i, s),
+fin AS (
+  SELECT conv_id, min(k) AS k, arg_min(said, k) AS said FROM (
+    SELECT dp.conv_id, lpad((best[:12]::BIGINT + 3 * n)::VARCHAR, 12, '0') || best[13:] || repeat('I', n) AS k, said || lines AS said
+    FROM dp JOIN ins ON ins.s0 = dp.s AND ins.s1 IN (0, 3) LEFT JOIN total t ON t.conv_id IS NOT DISTINCT FROM dp.conv_id
+    WHERE dp.i = coalesce(t.m, 0)) GROUP BY conv_id),
+cnt AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(dup::INT) AS duplicate,
+    sum(cut::INT) AS truncated, sum((c0 IS NOT NULL AND c0 || c NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM flagged GROUP BY conv_id)
+SELECT fin.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, k[:12]::BIGINT AS cost, k[13:] AS audit,
+  sha256(said[2:]) AS repaired_sha256
+FROM fin LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM fin.conv_id
+"""

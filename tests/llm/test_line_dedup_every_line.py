@@ -3,25 +3,7 @@
 import pytest
 
 from movelens.llm import line_dedup as ld
-from tests.llm.test_line_dedup import corpus, within
-
-
-def brute(rows, edits=2):
-    """Per row: numbers of lines and of exact and near ones to drop, and these."""
-    first, out = {}, {}
-    docs = sorted({(k is None, k or 0, t or "") for k, t in rows})
-    for none, k, t in docs:
-        for no, x in enumerate(t.split("\n")):
-            if x.strip() and x not in first:
-                first[x] = (none, k, no, t)
-    order = sorted((x for x in first if len(x) >= 20), key=lambda x: first[x][:3])
-    near = {x for i, x in enumerate(order) if any(within(x, y, edits) for y in order[:i])}
-    for none, k, t in docs:
-        lines = t.split("\n")
-        exact = [no for no, x in enumerate(lines) if x.strip() and first[x] != (none, k, no, t)]
-        close = [no for no, x in enumerate(lines) if x in near and first[x] == (none, k, no, t)]
-        out[None if none else k, t] = (len(lines), len(exact), len(close), sorted(exact + close))
-    return out
+from tests.llm.test_line_dedup import brute, corpus
 
 
 @pytest.mark.parametrize("few", [32, 0])

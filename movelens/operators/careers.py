@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from movelens import fixed_values as fv
-from movelens.operators.reports import top_k
+from movelens.operators.knn import nearest
 from movelens.operators.scan import DEFAULT_SKEW, Skew, ordered_scan
 
 SHAPE_FEATURES = ("n_stops", "first_score", "last_score", "avg_score", "score_range", "score_trend", "span_years")
@@ -111,77 +107,6 @@ def zscore(df: DataFrame, columns: Sequence[str], stats: DataFrame | None = None
     ).drop("_st")
 
 
-def _local_top_k(queries: np.ndarray, k: int, features: Sequence[str], key: str, exclude: Sequence[object] | None):
-    """Function for mapInPandas: the k nearest rows of a partition for every query."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=object))] * len(queries)
-        for pdf in batches:
-            matrix = pdf[list(features)].to_numpy(dtype="float64")
-            ids = pdf[key].to_numpy()
-            for i, q in enumerate(queries):
-                square = np.zeros(len(matrix))
-                for j in range(matrix.shape[1]):
-                    square += (matrix[:, j] - q[j]) * (matrix[:, j] - q[j])
-                keep = np.ones(len(ids), dtype=bool) if exclude is None else ids != exclude[i]
-                d, who = np.concatenate([best[i][0], square[keep]]), np.concatenate([best[i][1], ids[keep]])
-                if len(d) > k:
-                    near = d <= np.partition(d, k - 1)[k - 1]
-                    d, who = d[near], who[near]
-                order = np.lexsort((who.astype("int64"), d))[:k]
-                best[i] = (d[order], who[order])
-        rows = [(i, float(d), int(who)) for i, (ds, whos) in enumerate(best) for d, who in zip(ds, whos)]
-        yield pd.DataFrame(rows, columns=["_q", "_d2", "_ref"])
-
-    return scan
-
-
-def nearest(
-    queries: DataFrame,
-    reference: DataFrame,
-    features: Sequence[str],
-    *,
-    query_key: str,
-    reference_key: str,
-    k: int = fv.NEIGHBOURS,
-    exclude_self: bool = False,
-    block: int = 1_000,
-) -> DataFrame:
-    """The ``k`` nearest reference rows of every query by Euclidean distance.
-
-    Queries go out in blocks of at most about ``block`` rows; every partition of
-    the reference keeps its own ``k`` nearest per query, and the partitions'
-    lists are merged. No pair is ever stored. Keys are integers; the smaller
-    one wins a tie. Result: ``query_key``, ``rank``, ``neighbour``, ``distance``.
-    """
-    spark = queries.sparkSession
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    ref = reference.select(F.col(reference_key).alias("_id"), *features)
-    for c in features:
-        ref = ref.filter(F.col(c).isNotNull())
-    out = None
-    for b in range(blocks):
-        part = queries.select(query_key, *features)
-        if blocks > 1:
-            part = part.filter(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        rows = part.toPandas()
-        ids = rows[query_key].tolist()
-        scan = _local_top_k(
-            rows[list(features)].to_numpy(dtype="float64"), k, features, "_id", ids if exclude_self else None
-        )
-        local = ref.mapInPandas(scan, "_q int, _d2 double, _ref long")
-        names = spark.createDataFrame(list(enumerate(ids)), T.StructType(
-            [T.StructField("_qi", T.IntegerType()), T.StructField(query_key, queries.schema[query_key].dataType)]
-        ))
-        merged = top_k(local, ["_q"], [F.col("_d2"), F.col("_ref")], k).join(
-            F.broadcast(names), F.col("_q") == F.col("_qi")
-        )
-        part_out = merged.select(query_key, "rank", F.col("_ref").alias("neighbour"), F.sqrt("_d2").alias("distance"))
-        out = part_out if out is None else out.unionByName(part_out)
-    return out
-
-
 def similar_entities(
     shapes: DataFrame, subject: str, features: Sequence[str] = SHAPE_FEATURES, k: int = 5,
     queries: DataFrame | None = None, min_stops: int = 2,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from movelens import fixed_values as fv
 from movelens.functions.numeric import clip
 from movelens.operators.baselines import category_baselines, center_by, regress
-from movelens.operators.careers import nearest
+from movelens.operators.knn import nearest
 from movelens.operators.model import FittedFeatures, LinearModel, apply_percentiles, as_struct, medians
 from movelens.operators.reports import top_k
 from movelens.operators.scan import DEFAULT_SKEW, Skew

@@ -350,16 +350,13 @@ def zscore(t: Tables) -> DataFrame:
 
 
 @query("similar_subjects", f"""WITH {Z_SQL},
-q AS (SELECT c_nationkey, c_mktsegment, arg_min(subject, (-n_stops, subject)) AS subject FROM z JOIN customer ON c_custkey = subject WHERE n_stops >= 2 GROUP BY 1, 2),
+q AS (SELECT subject FROM z WHERE n_stops >= 2 AND subject % 50 = 0),
 p AS (SELECT a.subject, b.subject AS neighbour, {" + ".join(f"(b.{c}_z - a.{c}_z) * (b.{c}_z - a.{c}_z)" for c in SHAPE)} AS d2
   FROM z a JOIN q USING (subject) JOIN z b ON b.subject <> a.subject)
 SELECT subject, rank, neighbour, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY round(d2, 10), neighbour) AS rank FROM p) WHERE rank <= 5""")
 def similar_subjects(t: Tables) -> DataFrame:
-    """For the longest career of each nation and segment, the five most alike of all."""
+    """For every fiftieth subject, the five careers most alike of all."""
     s = shapes(t)
-    home = t.customer.select(F.col("c_custkey").alias("subject"), "c_nationkey", "c_mktsegment")
-    asked = s.filter(F.col("n_stops") >= 2).join(home, "subject").groupBy("c_nationkey", "c_mktsegment").agg(
-        F.min(F.struct((-F.col("n_stops")).alias("n"), "subject"))["subject"].alias("subject")
-    )
+    asked = s.filter(F.col("subject") % 50 == 0).select("subject")
     out = ca.similar_entities(s, "subject", queries=asked)
     return out.select("subject", F.col("rank").cast("long"), "neighbour", F.round("distance", 6).alias("distance"))

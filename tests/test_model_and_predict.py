@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from movelens import fixed_values as fv
 from movelens.operators import model as md
 from movelens.operators import predict as pr
-from movelens.operators.careers import nearest, shape_vectors, similar_entities
+from movelens.operators.careers import shape_vectors, similar_entities
+from movelens.operators.knn import nearest
 from movelens.sources.staging import stage
 
 
@@ -224,8 +225,8 @@ def test_neighbours_equal_brute_force(spark, prediction):
     _, _, _, ready, feat = prediction
     cols = ["age_at_transfer", "pre_apps"]
     q = feat.filter("has_recent").select("player_id", *cols)
-    for block in (1000, 7):
-        got = nearest(q, ready, cols, query_key="player_id", reference_key="player_id", k=5, block=block).toPandas()
+    for cell_rows in (2000, 40):
+        got = nearest(q, ready, cols, query_key="player_id", reference_key="player_id", k=5, cell_rows=cell_rows).toPandas()
         a, b = q.toPandas().set_index("player_id"), ready.select("player_id", *cols).toPandas().set_index("player_id")
         for pid, g in got.groupby("player_id"):
             d = np.sqrt(((b - a.loc[pid]) ** 2).sum(axis=1)).reset_index(name="d").sort_values(["d", "player_id"]).head(5)

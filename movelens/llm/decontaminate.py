@@ -11,8 +11,10 @@ The sets are part of the plan and so are sent to all executors; up to
 
 Defined results: null and empty texts have no words and are never hit; items
 without words hit nothing; equal windows of several items count for each;
-repeated rows are judged alike; a null id is an id of its own; only the named
-columns matter, and other columns stay where documents are returned.
+repeated rows are judged alike; a null id is an id of its own; an empty table of
+documents gives an empty result, an empty benchmark hits nothing; only the named
+columns matter, and other columns stay where documents are returned, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ def exact_words(text: Column) -> Column:
 
 
 def rough_words(text: Column) -> Column:
-    """As many words as ``exact_words``, cheaper; equal wherever those are equal."""
-    return _split(F.lower(text))
+    """As many words as ``exact_words``, cheaper; equal wherever those are equal.
+
+    Each word is lowered by itself: what stands around a word (as with a capital
+    sigma, whose small form depends on it) must not change it.
+    """
+    return F.transform(_split(text, GAP_ANY_CASE), F.lower)
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
@@ -71,8 +77,6 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-
-
 def _lengths(windows: DataFrame) -> list[int]:
     """Words of the windows: at most as many numbers as a window has words."""
     return [r.n for r in windows.select("n").distinct().orderBy("n").collect()] or [1]

@@ -56,3 +56,16 @@ def test_removal(spark):
     out = dc.decontaminate(docs, "doc_id", "text", bench, remove="spans").orderBy("doc_id")
     assert out.columns == docs.columns
     assert [r.text for r in out.collect()] == ["Keep this: And the rest. X", "clean  text\n", None]
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_what_stands_around_a_word_does_not_matter(spark, monkeypatch, limit):
+    """A capital sigma has another small form at a word's end, by what comes after it."""
+    monkeypatch.setattr(dc, "MAX_SET", limit)
+    item = "ΤΗΣ ΟΔΟΣ ΑΒ ΓΔ ΕΖ ΗΘ ΙΚ ΛΜ ΝΞ ΟΠ"
+    texts = [sep.join(item.split()) for sep in (" ", ".", "'", "1 "[1:], "--", "\n")] + [item.lower(), "İ I K ß ẞ " + item]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.n_hit for r in dc.contamination_report(docs, "doc_id", "text", bench).collect()}
+    assert got == {i: brute(t, [(1, item)])[1] for i, t in enumerate(texts)}
+    assert [got[i] for i in range(6)] == [10] * 6

@@ -4,7 +4,7 @@ A stable key and the number of shards decide the shard; there is no table of
 ring positions. With one more shard a row either stays or goes to the new one,
 which takes about 1 / (shards + 1) of the rows.
 
-Defined results: a null key hashes as one fixed key; a null text has no bytes;
+Defined results: keys that are not whole numbers are hashed first; a null key hashes as one fixed key; a null text has no bytes;
 rows with equal keys share a shard; an empty table gives an empty result;
 columns of the input that clash with added ones are replaced.
 """
@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from movelens.llm.text_ids import whole_text
 from movelens.sources.staging import stage
@@ -43,8 +44,16 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return landed
 
 
+def stable_key(df: DataFrame, key: str) -> Column:
+    """The key as a whole number: itself, or the hash of a key of another type."""
+    kind = df.select(F.col(key)).schema.fields[0].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(key).cast("long")
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+
+
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard of a whole-number key as a column; other keys can be hashed first (``xxhash64``)."""
+    """Shard of a whole-number key as a column; see :func:`stable_key` for others."""
 
     @F.pandas_udf("int")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -58,7 +67,8 @@ def shard_of(key: Column, shards: int) -> Column:
 
 def assign_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
     """``shard`` for the given count and ``grown_shard`` for one more shard."""
-    return df.withColumns({"shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1)})
+    number = stable_key(df, key)
+    return df.withColumns({"shard": shard_of(number, shards), "grown_shard": shard_of(number, shards + 1)})
 
 
 def number_slots(rows: DataFrame, shards: int, block_rows: int = 50_000) -> DataFrame:
@@ -94,6 +104,6 @@ def shard_manifest(df: DataFrame, key: str, text: str, shards: int) -> DataFrame
 
 def write_shards(df: DataFrame, key: str, shards: int, path: str, tasks_per_shard: int = 16) -> None:
     """Writes the rows as Parquet folders ``shard=<n>``; several tasks share a shard."""
-    placed = df.withColumn("shard", shard_of(F.col(key), shards))
+    placed = df.withColumn("shard", shard_of(stable_key(df, key), shards))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "shard"]), F.lit(tasks_per_shard))
     placed.repartition(shards * tasks_per_shard, "shard", spread).write.partitionBy("shard").parquet(path)

@@ -57,3 +57,13 @@ def test_files(spark, tmp_path):
     sharding.write_shards(df, "doc_id", 4, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(back) == 200 and all(r.shard == plain_jump(r.doc_id, 4) for r in back)
+
+
+def test_text_keys(spark):
+    df = spark.createDataFrame([(f"doc-{i}", "t", "x") for i in range(500)] + [(None, None, "x")], "doc_id string, text string, shard string")
+    got = sharding.shard_manifest(df, "doc_id", "text", 8).collect()
+    assert len(got) == 501 and {r.shard for r in got} == set(range(8))
+    moved = [r for r in got if r.shard != r.grown_shard]
+    assert 0 < len(moved) < 120 and {r.grown_shard for r in moved} == {8}
+    again = {r.doc_id: r.shard for r in sharding.shard_manifest(df.repartition(7), "doc_id", "text", 8).collect()}
+    assert again == {r.doc_id: r.shard for r in got}

@@ -2,7 +2,9 @@
 
 A page is a sequence of words and tags. Elements that are never article text
 (scripts, menus, headers and footers, sidebars) are taken out with all they
-hold. So are forms and what class, id or role name as a notice, advert or the
+hold. So are reader comments, by what class or id name them, whatever their
+length and headings: an article named as a comment is one, and only an element
+around the page's first other article stays. So are forms and what class, id or role name as a notice, advert or the
 like, if they hold no article, main or h1 and at most ``SMALL_SHARE`` of the
 page's words, or stand outside a marked article and have fewer words than it or
 than ``FEW_WORDS``; others only count against the stretch that crosses into them.
@@ -43,6 +45,9 @@ NAMED = frozenset(
     "sidebar aside header footer masthead comment comments respond reply replies disqus notice notices cookie cookies consent gdpr popup modal "
     "overlay newsletter subscribe signup login search share sharing social related recommended toolbar pagination pager skip hidden widget "
     "contentinfo complementary alert dialog copyright disclaimer".split())
+# Words that name reader comments, and words that only tell of their state.
+COMMENTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+STATES = frozenset("has no with open opened closed enabled disabled allow allowed count counter".split())
 BLOCKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd article main section blockquote pre table thead tbody tfoot tr td th caption figure figcaption "
     "address hr body html details summary center fieldset".split())
@@ -50,6 +55,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # Elements that end where one of the same kind begins.
 SELF_ENDING = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset(("article", "main"))
+# Elements whose text counts as that of a paragraph.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd".split())
+DRAWINGS = frozenset(("svg", "foreignobject", "desc"))
 #: Share of a page's words up to which a form or named element without article, main or h1 is taken out.
 SMALL_SHARE = 0.3
 #: Words below which such an element is taken out of a page that marks an article elsewhere, however short that is.
@@ -60,7 +68,7 @@ LARGE = "<:named"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)",
     re.S | re.I)
 _ATTR = re.compile(r"([^\s=<>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -68,27 +76,28 @@ _PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 Token = tuple[str, str]
 
 
-def _unwanted(name: str, attrs: str, inside: set[str]) -> tuple[bool, bool]:
-    """Whether an element never is article text, and whether it only looks so (a form, or by its names)."""
-    if name == "header" and inside & CONTENT:
-        return False, False  # a heading of the article itself
-    if name in DROPPED:
-        return True, False
-    if not attrs or name in CONTENT or name in ("body", "html"):
-        return False, name == "form"
-    named = name == "form"
+def _unwanted(name: str, attrs: str, in_content: bool) -> tuple[bool, bool, bool]:
+    """Whether an element never is article text, whether it only looks so (a form, or by its names), and whether its names are those of comments."""
+    if name in DROPPED and not (name == "header" and in_content):  # a heading of the article itself stays
+        return True, False, False
+    if not attrs or name in ("body", "html"):
+        return False, name == "form", False
+    named, comments = name == "form", False
     for m in _ATTR.finditer(attrs):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if key == "hidden" or (key == "aria-hidden" and value.lower().startswith("true")):
-            return True, False
+        if name not in CONTENT and (key == "hidden" or (key == "aria-hidden" and value.lower().startswith("true"))):
+            return True, False, False
         if key in ("class", "id", "role"):
-            named = named or any(part.lower() in NAMED for part in _PARTS.findall(value))
-    return False, named
+            for word in value.split():
+                parts = {x.lower() for x in _PARTS.findall(word)}
+                named = named or bool(parts & NAMED)
+                comments = comments or bool(parts & COMMENTS and not parts & STATES)
+    return False, named and name not in CONTENT, comments
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, wanted): kind is ``w`` for text in a paragraph-like block, ``l`` for text in a link, ``o`` for other
-    text, ``LARGE`` where a large named element begins, else ``<name`` or ``>name`` for a tag. Elements with an end
+    text, ``LARGE`` where a named element that stays begins, else ``<name`` or ``>name`` for a tag. Elements with an end
     somewhere are dropped up to it."""
     named: dict[int, bool] = {}
     found = list(_walk(page, named, {}))
@@ -97,33 +106,44 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
 
 def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterator[tuple[str, str, bool]]:
     """The tokens. ``named`` gets, by place, whether each form or named element is to be dropped; ``judged`` has it from a first walk."""
-    at_open: dict[int, tuple[int, int]] = {}  # words and headings before
+    at_open: dict[int, tuple[int, int, int]] = {}  # words, headings and articles before
     extent: dict[int, tuple[int, int, bool]] = {}
-    words = heads = marked = 0
-    opened: list[tuple[str, bool, int]] = []  # name, whether the element is unwanted, place
-    bad = 0
+    remarks: dict[int, bool] = {}  # by place of an element of comments: whether the first article is inside
+    words = heads = marked = articles = 0
+    opened: list[tuple[str, bool, int, bool]] = []  # name, whether the element is unwanted, place, whether it is an article
+    bad = running = in_content = 0
     at = 0
+    names: Counter[str] = Counter()  # of what is open
+    blocks: list[int] = []  # places in ``opened`` of blocks, options and drawings
+    options: list[int] = []
+    drawings: list[int] = []
     closers = Counter(m.lower() for m in re.findall(r"</\s*([a-zA-Z][a-zA-Z0-9:-]*)", page))
 
     def text(s: str) -> Iterator[tuple[str, str, bool]]:
         nonlocal words
         if s:
             words += 0 if bad else len(s.split())
-            names = [n for n, _, _ in opened]
-            kind = "l" if "a" in names else "w" if any(n in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "dd") for n in names) else "o"
-            yield kind, s, not bad
+            yield "l" if names["a"] else "w" if running else "o", s, not bad
 
     def pop(down_to: int) -> None:
-        nonlocal bad, marked
+        nonlocal bad, marked, running, in_content
         while len(opened) > down_to:
-            name, unwanted, place = opened.pop()
+            name, unwanted, place, article = opened.pop()
             bad -= unwanted
+            names[name] -= 1
+            running -= name in RUNNING
+            in_content -= article
+            for kind in (blocks, options, drawings):
+                if kind and kind[-1] == len(opened):
+                    kind.pop()
             if place in at_open:
-                n = words - at_open[place][0]
-                if name in CONTENT:
+                n, before = words - at_open[place][0], at_open[place][2]
+                if article:
                     marked = max(marked, n)
+                elif place in remarks:
+                    remarks[place] = before == 0 and articles > 0
                 else:
-                    extent[place] = n, heads - at_open[place][1], any(x in CONTENT for x, _, _ in opened)
+                    extent[place] = n, heads - at_open[place][1], in_content > 0
 
     for m in _TOKEN.finditer(page):
         yield from text(page[at:m.start()])
@@ -137,50 +157,53 @@ def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterato
         if m.group("close"):
             closers[name] -= 1
             wanted = not bad
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == name:
-                    pop(i)
-                    break
+            if names[name]:
+                i = len(opened) - 1
+                while opened[i][0] != name:
+                    i -= 1
+                pop(i)
             yield f">{name}", "", wanted
             continue
-        if name in BLOCKS:  # a block ends a drawing that was left open
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == "svg":
-                    pop(i)
-                    break
-                if opened[i][0] in ("foreignobject", "desc"):
-                    break
-        if name in SELF_ENDING:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == name:
-                    pop(i)
-                    break
-                if opened[i][0] in BLOCKS:
-                    break
-        if name in BLOCKS and name not in ("li", "td", "th", "tr"):  # a block ends a paragraph
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i][0] == "p":
-                    pop(i)
-                    break
-                if opened[i][0] in BLOCKS:
-                    break
-        heads += name in CONTENT or name == "h1"
-        unwanted, looks = _unwanted(name, m.group("attrs"), {n for n, _, _ in opened})
+        if name in BLOCKS and drawings and opened[drawings[-1]][0] == "svg":  # a block ends a drawing that was left open
+            pop(drawings[-1])
+        block = blocks[-1] if blocks else -1
+        if name == "option" and options and options[-1] > block:
+            pop(options[-1])
+        elif name in SELF_ENDING and block >= 0 and opened[block][0] == name:
+            pop(block)
+        if name in BLOCKS and name not in ("li", "td", "th", "tr") and blocks and opened[blocks[-1]][0] == "p":  # a block ends a paragraph
+            pop(blocks[-1])
+        unwanted, looks, comments = _unwanted(name, m.group("attrs"), in_content > 0)
+        article = name in CONTENT and not comments
+        heads += article or name == "h1"
         place = m.start()
         ends = name in SELF_ENDING or closers[name] > 0
-        if looks and ends:
-            unwanted = judged.get(place, False)
+        empty = name in VOID or m.group("attrs").endswith("/")
+        if (looks or comments) and ends:
+            unwanted = unwanted or judged.get(place, False)
             if place in judged and not unwanted:
                 yield LARGE, "", not bad
-        empty = name in VOID or m.group("attrs").endswith("/")
         if unwanted and not empty and name not in SELF_ENDING and closers[name] <= 0 and name not in ("footer", "nav"):
             unwanted = False  # it never ends: leave out no more than its tag
         yield f"<{name}", "", not bad and not unwanted
         if not empty:
-            opened.append((name, unwanted, place))
+            where = len(opened)
+            opened.append((name, unwanted, place, article))
+            names[name] += 1
+            running += name in RUNNING
+            in_content += article
             bad += unwanted
-            if name in CONTENT or (looks and ends):
-                at_open[place] = words, heads - (name == "h1")
+            if name in BLOCKS:
+                blocks.append(where)
+            if name == "option":
+                options.append(where)
+            if name in DRAWINGS:
+                drawings.append(where)
+            if article or ((looks or comments) and ends):
+                at_open[place] = words, heads - (name == "h1"), articles
+            if comments and ends:
+                remarks[place] = False
+            articles += article
     rest = page[at:]
     if "<" in rest:  # a tag that was cut off
         cut = re.search(r"<[a-zA-Z/!?]", rest)
@@ -188,6 +211,7 @@ def _walk(page: str, named: dict[int, bool], judged: dict[int, bool]) -> Iterato
     yield from text(rest)
     pop(0)
     named.update((k, not h and (n <= SMALL_SHARE * words or (marked and not i and n < max(marked, FEW_WORDS)))) for k, (n, h, i) in extent.items())
+    named.update((k, not first) for k, first in remarks.items())
 
 
 def kinds_of(page: str) -> Iterator[tuple[str, int, bool]]:

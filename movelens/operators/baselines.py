@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from movelens.operators.small_side import settled, small_join
+
 # Smallest samples a cell baseline is trusted with.
 MIN_CELL_MINUTES = 5000
 MIN_CELL_ROWS = 15
@@ -97,13 +99,12 @@ def lookup_baseline(
     b = baselines.select(
         F.col(base_region).alias("_r"), F.col(base_group).alias("_g"), *[F.col(c).alias(f"_c_{o}") for o, c in take.items()]
     )
+    b = settled(b)  # read for cells, groups and their mean
     fallback = b.filter(F.col("_r") == DEFAULT_REGION)
     means = fallback.agg(F.struct(*[F.avg(f"_c_{o}").alias(o) for o in take]).alias("m"))
     fine = b.filter(F.col("_r") != DEFAULT_REGION)
     coarse = fallback.select(F.col("_g").alias("_g2"), *[F.col(f"_c_{o}").alias(f"_d_{o}") for o in take])
-    joined = df.join(fine, (F.col(region) == F.col("_r")) & (F.col(group) == F.col("_g")), "left").join(
-        coarse, F.col(group) == F.col("_g2"), "left"
-    )
+    joined = small_join(small_join(df, fine, [(region, "_r"), (group, "_g")]), coarse, [(group, "_g2")])
     if last_resort is None:
         joined = joined.withColumn("_m", means.scalar())
         last = {o: F.col(f"_m.{o}") for o in take}
@@ -143,7 +144,8 @@ def regress(df: DataFrame, y: Column, x: Column, by: Sequence[str] = ()) -> Data
 
 def center_by(df: DataFrame, value: str, by: str, fitted: DataFrame, out: str, mean: str = "mean") -> DataFrame:
     """``value`` minus the fitted mean of its group, or the overall mean for a new group."""
+    fitted = settled(fitted)
     default = fitted.filter(F.col(by) == DEFAULT_REGION).select(mean)
     table = fitted.filter(F.col(by) != DEFAULT_REGION).select(F.col(by).alias("_cg"), F.col(mean).alias("_cm"))
     centered = F.col(value) - F.coalesce(F.col("_cm"), default.scalar())
-    return df.join(table, F.col(by) == F.col("_cg"), "left").withColumn(out, centered).drop("_cg", "_cm")
+    return small_join(df, table, [(by, "_cg")]).withColumn(out, centered).drop("_cg", "_cm")

@@ -1,4 +1,4 @@
-"""Training: fitted features, a weighted ridge, out-of-fold predictions.
+"""Training: fitted features and a weighted ridge.
 
 Every statistic is fitted on the training rows alone and applied to others as
 a table. The model itself is a handful of coefficients, so scoring is a column
@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens import fixed_values as fv
-from movelens.functions.numeric import clip, interp, known_mean
+from movelens.functions.numeric import interp, known_mean
 from movelens.operators.baselines import center_by, group_means
 from movelens.operators.ranks import stacked_quantiles
 from movelens.operators.scan import DEFAULT_SKEW, Skew
+from movelens.operators.small_side import small_join
 from movelens.sources.staging import stage
 
 POOLED = "__infrequent__"
@@ -84,15 +85,18 @@ def percentile_tables(
 
 def apply_percentiles(
     df: DataFrame, tables: DataFrame, by: str = "position", buckets: Mapping[str, Sequence[str]] = fv.PRE_BUCKETS,
-    keeper_bucket: Sequence[str] = fv.PRE_KEEPER_BUCKET, inverted: Sequence[str] = fv.PRE_INVERTED,
+    keeper_bucket: Sequence[str] = fv.PRE_KEEPER_BUCKET, inverted: Sequence[str] = fv.PRE_INVERTED, position: str | None = None,
 ) -> DataFrame:
-    """``pre_fotmob_<bucket>_pct`` and ``has_pre_<bucket>_data`` from fitted breakpoints."""
+    """``pre_fotmob_<bucket>_pct`` and ``has_pre_<bucket>_data`` from fitted breakpoints.
+
+    ``position`` names the position's column where the breakpoints are ``by`` another one.
+    """
     stats = list(dict.fromkeys([s for b in buckets.values() for s in b] + list(keeper_bucket)))
     # at most one entry per statistic and group
     maps = tables.groupBy(F.col(by).alias("_pg")).agg(
         F.map_from_entries(F.collect_list(F.struct("stat", "q"))).alias("_tables")
     )
-    joined = df.join(maps, F.col(by) == F.col("_pg"), "left")
+    joined = small_join(df, maps, [(by, "_pg")])
     pct = {
         s: interp((-F.col(s) if s in inverted else F.col(s)).cast("double"), F.try_element_at("_tables", F.lit(s)))
         for s in stats
@@ -102,7 +106,7 @@ def apply_percentiles(
     for b, members in buckets.items():
         value = known_mean(*[F.col(f"_p_{s}") for s in members])
         if b == "defensive":
-            value = F.when(F.col(by) == fv.KEEPER, known_mean(*[F.col(f"_p_{s}") for s in keeper_bucket])).otherwise(value)
+            value = F.when(F.col(position or by) == fv.KEEPER, known_mean(*[F.col(f"_p_{s}") for s in keeper_bucket])).otherwise(value)
         out[f"pre_fotmob_{b}_pct"] = value
     flagged = joined.withColumns(out).withColumns(
         {f"has_pre_{b}_data": F.col(f"pre_fotmob_{b}_pct").isNotNull().cast("int") for b in buckets}
@@ -226,7 +230,7 @@ def category_levels(df: DataFrame, columns: Sequence[str], min_n: int = fv.MIN_C
     """
     entries = F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("l")) for c in columns])
     counts = df.select(F.explode(entries).alias("e")).groupBy("e.f", "e.l").agg(F.count(F.lit(1)).alias("n"))
-    pooled = counts.withColumn("l", F.when(F.col("n") >= min_n, F.col("l")).otherwise(POOLED)).select("f", "l").distinct()
+    pooled = counts.withColumn("l", F.coalesce(F.when(F.col("n") >= min_n, F.col("l")), F.lit(POOLED))).select("f", "l").distinct()
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for r in pooled.orderBy("f", "l").collect():
         levels[r.f].append(r.l)
@@ -328,23 +332,6 @@ def holdout_and_refit(df: DataFrame, cut: str = fv.SPLIT_DATE, skew: Skew = DEFA
     return (metrics, *train(df, skew=skew))
 
 
-def oof_predict(df: DataFrame, key: Sequence[str] = ("player_id", "transfer_date"), k: int = fv.FOLDS, skew: Skew = DEFAULT_SKEW) -> DataFrame:
-    """Predictions for every row by a model that never saw it, and the surprise.
-
-    All statistics are refitted per fold; recency counts from one date for all
-    folds. ``df`` is read once per fold and should be a stored table.
-    """
-    newest = df.agg(F.max("transfer_date")).first()[0]
-    folded = df.withColumn("_fold", fold_of(key, k))
-    out = None
-    for i in range(k):
-        fitted, model = train(folded.filter(F.col("_fold") != i), reference=newest, skew=skew)
-        held = apply_features(folded.filter(F.col("_fold") == i), fitted)
-        part = held.select(*key, "success_score", F.bround(clip(model.predict(), 0.0, 100.0), 1).alias("predicted_score"))
-        out = part if out is None else out.unionByName(part)
-    return surprise(out)
-
-
 def surprise(df: DataFrame, actual: str = "success_score", predicted: str = "predicted_score") -> DataFrame:
     """Signed and absolute difference between outcome and prediction."""
     delta = F.bround(F.col(actual) - F.col(predicted), 1)

@@ -20,6 +20,7 @@ from movelens.operators.knn import nearest
 from movelens.operators.model import FittedFeatures, LinearModel, apply_percentiles, as_struct, medians
 from movelens.operators.reports import top_k
 from movelens.operators.scan import DEFAULT_SKEW, Skew
+from movelens.operators.small_side import small_join
 
 # Steps of the what-if analysis and gates of the notes.
 COMPOSITE_STEP, COMPOSITE_CEILING, RATE_STEP = 15.0, 95.0, 1.25
@@ -150,8 +151,8 @@ def scenario_features(df: DataFrame, fitted: FittedFeatures, refs: References) -
     """
     has = sum((F.col(c).isNotNull().cast("int") for c in fv.RECENT_FEATURES), F.lit(0)) == len(fv.RECENT_FEATURES)
     groups = refs.by_group.select(F.col("position").alias("_rg"), F.col("v").alias("_gv"))
-    joined = df.withColumn("has_recent", has).join(groups, F.col("position") == F.col("_rg"), "left")
-    joined = joined.withColumn("_fv", refs.flat.scalar())
+    joined = df.withColumn("has_recent", has)
+    joined = small_join(joined, groups, [("position", "_rg")]).withColumn("_fv", refs.flat.scalar())
     filled = {
         c: F.when(F.col("has_recent"), F.col(c)).otherwise(F.coalesce(F.col(f"_gv.{c}"), F.col(f"_fv.{c}")))
         for c in fv.RECENT_FEATURES
@@ -182,7 +183,7 @@ def marginalise(df: DataFrame, model: LinearModel, profiles: DataFrame, group: s
     form, or of a group without profiles, keep their point prediction.
     """
     p = profiles.select(F.col(group).alias("_pg"), F.col("v").alias("_pv"))
-    joined = df.join(p, F.col(group) == F.col("_pg"), "left")
+    joined = small_join(df, p, [(group, "_pg")])
     shift = sum((model.part(f, F.col(f"_pv.{f}")) - model.part(f) for f in features), F.lit(0.0))
     raw = F.when(F.col(has) | F.col("_pg").isNull(), F.col(base)).otherwise(F.col(base) + shift)
     return joined.withColumn(out, raw).drop("_pg", "_pv")
@@ -223,7 +224,7 @@ def resolve_references(df: DataFrame, fitted: FittedFeatures, refs: References,
     """
     groups = refs.by_group.select(F.col("position").alias("_rg"), F.col("v").alias("_gv"), F.col("sub_position").alias("_gs"))
     line = refs.fee_line.select(F.struct("slope", "intercept").alias("l"))
-    df = df.join(groups, F.col("position") == F.col("_rg"), "left").withColumns(
+    df = small_join(df, groups, [("position", "_rg")]).withColumns(
         {
             "_fv": refs.flat.scalar(), "_paid": refs.paid.scalar(), "_line": line.scalar(),
             "_med": fitted.composite_medians.scalar(),
@@ -251,7 +252,7 @@ def resolve_references(df: DataFrame, fitted: FittedFeatures, refs: References,
     df = df.withColumns(out)
     # The role usual for the reference position; unchanged if the position is.
     typical = refs.by_group.select(F.col("position").alias("_tp"), F.col("sub_position").alias("_ts"))
-    df = df.join(typical, F.col("ref_position") == F.col("_tp"), "left")
+    df = small_join(df, typical, [("ref_position", "_tp")])
     role = F.when(F.col("ref_position") == F.col("position"), F.col("sub_position")).otherwise(F.col("_ts"))
     return df.withColumn("ref_role_of_position", role).drop("_rg", "_gv", "_gs", "_fv", "_paid", "_line", "_med", "_tp", "_ts")
 

@@ -12,6 +12,7 @@ from movelens.functions.numeric import clip, decay_weight, known_mean, ratio, we
 from movelens.operators.baselines import lookup_baseline, regress, weighted_baselines
 from movelens.operators.ranks import RankSpec, pct_ranks
 from movelens.operators.scan import DEFAULT_SKEW, Skew
+from movelens.operators.small_side import small_join
 
 # Shape of the single components.
 OVERPAY_FREE_RATIO = 1.3
@@ -150,15 +151,11 @@ def availability(
 
 
 def expected_level(
-    df: DataFrame, y: str, x: str, by: str, out: str = "expected", small_groups: bool = False
+    df: DataFrame, y: str, x: str, by: str, out: str = "expected"
 ) -> DataFrame:
-    """Level expected from the level before, by one regression line per group.
-
-    ``small_groups`` states that the groups are a bounded set, such as the
-    positions that have a weight profile; only then the lines are broadcast.
-    """
+    """Level expected from the level before, by one regression line per group."""
     lines = regress(df.select(by, y, x), F.col(y), F.col(x), [by]).withColumnRenamed(by, "_lg")
-    joined = df.join(F.broadcast(lines) if small_groups else lines, F.col(by) == F.col("_lg"), "left")
+    joined = small_join(df, lines, [(by, "_lg")])
     return joined.withColumn(out, F.col("intercept") + F.col("slope") * F.col(x)).drop("_lg", "slope", "intercept")
 
 
@@ -293,7 +290,7 @@ def base_components(df: DataFrame, key: Sequence[str], extra: Sequence[RankSpec]
     """The components that need no provider data, ranked within ``df``."""
     df = expected_level(
         df, "post_ga_p90_vs_league", "pre_ga_p90_vs_league", "position",
-        out="expected_post_ga_p90_vs_league", small_groups=True,
+        out="expected_post_ga_p90_vs_league",
     )
     residual = F.col("post_ga_p90_vs_league") - F.col("expected_post_ga_p90_vs_league")
     specs = [

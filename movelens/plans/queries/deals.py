@@ -108,7 +108,7 @@ def league_summary(t: Tables) -> DataFrame:
 
 ERA_SQL = """
 yr AS (SELECT *, year(d) AS year FROM deals WHERE year(d) < (SELECT max(year(d)) FROM deals)),
-yy AS (SELECT buyer AS league_id, year, count(*) AS n, sum(fee) AS fees, sum(score) AS scores FROM yr WHERE segment <> 'BUILDING' OR year > 1996 GROUP BY 1, 2),
+yy AS (SELECT buyer AS league_id, year, count(*) AS n, sum(fee) AS fees, sum(score) AS scores FROM yr GROUP BY 1, 2),
 pl AS (SELECT *, row_number() OVER (PARTITION BY league_id ORDER BY year) AS u, count(*) OVER (PARTITION BY league_id) AS a FROM yy),
 era AS (SELECT league_id, min(year) FILTER (WHERE u <= 3) AS e0, max(year) FILTER (WHERE u <= 3) AS e1, min(year) FILTER (WHERE u > a - 3) AS r0, max(year) FILTER (WHERE u > a - 3) AS r1,
   sum(fees) FILTER (WHERE u <= 3) / sum(n) FILTER (WHERE u <= 3) AS ef, sum(fees) FILTER (WHERE u > a - 3) / sum(n) FILTER (WHERE u > a - 3) AS rf,
@@ -120,13 +120,9 @@ era AS (SELECT league_id, min(year) FILTER (WHERE u <= 3) AS e0, max(year) FILTE
 SELECT league_id, e0 || '–' || e1 AS early_years, r0 || '–' || r1 AS recent_years, round(ef, 3) AS early_avg_fee, round(rf, 3) AS recent_avg_fee,
   round((rf - ef) / ef * 100, 6) AS fee_growth_pct, round(rs - es, 6) AS score_change FROM era""")
 def era_compare(t: Tables) -> DataFrame:
-    """Per buyer; one segment is thinned in early years so that not all years are alike."""
     from dataclasses import replace
 
-    df = deals(t)
-    latest = df.agg(F.max(F.year("d")).alias("y")).scalar()
-    kept = df.filter((F.col("segment") != "BUILDING") | (F.year("d") > 1996) | (F.year("d") == latest))
-    out = rp.era_compare(kept, replace(DEALS, buyer_region="buyer"))
+    out = rp.era_compare(deals(t), replace(DEALS, buyer_region="buyer"))
     return out.select(
         "league_id", "early_years", "recent_years", F.round("early_avg_fee", 3).alias("early_avg_fee"),
         F.round("recent_avg_fee", 3).alias("recent_avg_fee"), F.round("fee_growth_pct", 6).alias("fee_growth_pct"),
@@ -217,12 +213,11 @@ def modal_category(t: Tables) -> DataFrame:
 
 
 @query("role_override", """WITH m AS (SELECT l_partkey, arg_min(k, (-n, k)) AS role FROM
-  (SELECT l_partkey, l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1, 2) GROUP BY 1)
+  (SELECT l_partkey, l_returnflag AS k, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1)
 SELECT p_partkey, coalesce(role, p_type) AS role FROM part LEFT JOIN m ON l_partkey = p_partkey""")
 def role_override(t: Tables) -> DataFrame:
-    """The most frequent category of a part's large orders, else its own type."""
-    big = t.lineitem.filter(F.col("l_quantity") >= 45)
-    role = rp.modal(big, "l_partkey", "l_returnflag", "role").withColumnRenamed("l_partkey", "p_partkey")
+    """The most frequent category of a part's line items, else its own type."""
+    role = rp.modal(t.lineitem, "l_partkey", "l_returnflag", "role").withColumnRenamed("l_partkey", "p_partkey")
     return rp.override_from(t.part.select("p_partkey", "p_type"), "p_partkey", "p_type", role, "role").select(
         "p_partkey", F.col("p_type").alias("role")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from movelens.functions.numeric import clip
 from movelens.operators import model as md
 from movelens.operators import predict as pr
 from movelens.operators.baselines import category_baselines, regress
+from movelens.operators.folds import fit_folds, predicted
 from movelens.operators.reports import binned_trend, nearest_bucket
 from movelens.plans.queries.base import DEALS_SQL, Tables, deals, query
 from movelens.plans.queries.ranking import PRIOR_SQL, with_prior
@@ -118,19 +117,47 @@ def weighted_ridge(t: Tables) -> DataFrame:
     return model.coefficients(t.spark).select("feature", F.round("coefficient", 5).alias("coefficient"))
 
 
-def _fold_models(t: Tables) -> DataFrame:
-    """Out-of-fold predictions on deals with numeric and categorical features."""
-    df = stage(rows(t).select("deal_id", "d", "score", *NUMERIC, *CATEGORICAL), "fold-rows")
-    newest: dt.date = df.agg(F.max("d")).first()[0]
-    folded = md.recency_weight(df, "d", reference=newest).withColumn("_fold", md.fold_of(["deal_id"]))
-    out = None
-    for i in range(md.fv.FOLDS):
-        model = md.fit_ridge(folded.filter(F.col("_fold") != i), "score", "recency_weight", NUMERIC, CATEGORICAL)
-        part = folded.filter(F.col("_fold") == i).select(
-            "deal_id", F.col("_fold").alias("fold"), "score", F.bround(clip(model.predict(), 0.0, 100.0), 1).alias("predicted_score")
-        )
-        out = part if out is None else out.unionByName(part)
-    return md.surprise(out, "score")
+def _folded(t: Tables) -> DataFrame:
+    """Deals with their fold and recency weight."""
+    df = rows(t).select("deal_id", "d", "score", *NUMERIC, *CATEGORICAL)
+    return stage(md.recency_weight(df, "d").withColumn("fold", md.fold_of(["deal_id"])), "folded-rows")
+
+
+def _ridge_sql(trainings: str, member: str) -> str:
+    """CTEs up to ``beta`` (t, ix, v): the ridge of each training set ``t``, from its normal equations by elimination.
+
+    ``member`` tells which rows of ``src`` (with feature columns, y and w) belong to training set ``t``.
+    """
+    numbers = " UNION ALL ".join(f"SELECT t, deal_id, '{c}' AS f, '' AS lv, ({c} - m_{c}) / CASE WHEN d_{c} = 0 THEN 1 ELSE d_{c} END AS x FROM src, st WHERE true" for c in NUMERIC)
+    levels = " UNION ALL ".join(
+        f"SELECT c.t, src.deal_id, '{c}', coalesce(l.lv, '{md.POOLED}'), 1.0 FROM trainings c CROSS JOIN src LEFT JOIN lv l ON l.t = c.t AND l.f = '{c}' AND l.lv = src.{c}" for c in CATEGORICAL)
+    counts = " UNION ALL ".join(f"SELECT t, '{c}' AS f, {c} AS lv, count(*) AS n FROM trainings, src WHERE {member} GROUP BY ALL" for c in CATEGORICAL)
+    return f"""trainings AS ({trainings}),
+st AS (SELECT t, {", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS d_{c}" for c in NUMERIC)} FROM trainings, src WHERE {member} GROUP BY t),
+lv AS (SELECT t, f, lv FROM ({counts}) WHERE n >= {md.fv.MIN_CATEGORY_ROWS}),
+ent AS (SELECT t, deal_id, '' AS f, '' AS lv, 1.0::DOUBLE AS x FROM trainings, src UNION ALL {numbers} UNION ALL {levels}),
+en AS MATERIALIZED (SELECT e.t, e.deal_id, e.f, e.lv, e.x, src.w, src.y, {member.replace("trainings.", "e.")} AS learn FROM ent e JOIN src USING (deal_id)),
+cols AS (SELECT t, f, lv, row_number() OVER (PARTITION BY t ORDER BY f, lv) AS ix FROM (SELECT DISTINCT t, f, lv FROM en WHERE learn)),
+at_ AS MATERIALIZED (SELECT en.*, cols.ix FROM en JOIN cols USING (t, f, lv)),
+prod AS (SELECT a.t, a.ix AS i, b.ix AS j, sum(a.w * a.x * b.x) AS v FROM at_ a JOIN at_ b ON a.t = b.t AND a.deal_id = b.deal_id WHERE a.learn GROUP BY ALL),
+rhs AS (SELECT t, ix AS i, sum(w * x * y) AS v FROM at_ WHERE learn GROUP BY ALL),
+cell AS (
+  SELECT a.t, a.ix AS i, b.ix AS j, coalesce(p.v, 0) + CASE WHEN a.ix = b.ix AND a.f <> '' THEN {md.fv.RIDGE_ALPHA} ELSE 0 END AS v
+  FROM cols a JOIN cols b ON a.t = b.t LEFT JOIN prod p ON p.t = a.t AND p.i = a.ix AND p.j = b.ix
+  UNION ALL SELECT t, i, 1000000, v FROM rhs),
+mat AS (SELECT t, list(r ORDER BY i) AS m FROM (SELECT t, i, list(v ORDER BY j) AS r FROM cell GROUP BY t, i) GROUP BY t),
+elim AS (
+  SELECT t, 1 AS k, m FROM mat
+  UNION ALL
+  SELECT t, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda x: x / m[k][k])
+    ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM elim WHERE k <= len(m)),
+beta AS (SELECT t, ix, m[ix][-1] AS v FROM (SELECT t, m, unnest(range(1, len(m) + 1)) AS ix FROM elim WHERE k = len(m) + 1))"""
+
+
+SRC_SQL = PRIOR_SQL + """,
+src AS (SELECT deal_id, ln(1 + fee) AS log_fee, balance, prior, CAST(year(d) AS DOUBLE) AS year, segment, priority, 'N' || buyer AS buyer_name, score AS y,
+  pow(0.5, (date_diff('day', d, (SELECT max(d) FROM q)) / 365.25) / 3.0) AS w,
+  CAST(('0x' || substr(md5(CAST(deal_id AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM q)"""
 
 
 # The same on two numeric features, where each fold's fit has a closed form.
@@ -150,23 +177,22 @@ k AS (SELECT i, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS ka, (byy * aa - ay
 SELECT deal_id, fold, round(greatest(least(my - ka * ma - kb * mb + ka * a + kb * b, 100.0), 0.0), 5) AS predicted
 FROM z JOIN c ON c.i = z.i JOIN k ON k.i = z.i WHERE fold = z.i""")
 def oof_numeric(t: Tables) -> DataFrame:
-    df = stage(with_prior(t).select("deal_id", "d", "score", "prior", "balance"), "fold-rows")
-    newest: dt.date = df.agg(F.max("d")).first()[0]
-    folded = stage(md.recency_weight(df, "d", reference=newest).withColumn("fold", md.fold_of(["deal_id"])), "folded-rows")
-    out = None
-    for i in range(md.fv.FOLDS):
-        model = md.fit_ridge(folded.filter(F.col("fold") != i), "score", "recency_weight", ["prior", "balance"])
-        part = folded.filter(F.col("fold") == i).select(
-            "deal_id", "fold", F.round(clip(model.predict(), 0.0, 100.0), 5).alias("predicted")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("oof_predictions")
+    folded = _folded(t)
+    models = fit_folds(folded, "score", "recency_weight", ["prior", "balance"], fold="fold")
+    return folded.select("deal_id", "fold", F.round(clip(predicted(models, "fold"), 0.0, 100.0), 5).alias("predicted"))
+
+
+@query("oof_predictions", f"""WITH RECURSIVE {SRC_SQL}, {_ridge_sql("SELECT unnest([0, 1, 2, 3, 4]) AS t", "src.fold <> trainings.t")},
+p AS (SELECT at_.deal_id, any_value(at_.y) AS y, any_value(at_.t) AS fold, greatest(least(sum(x * v), 100.0), 0.0) AS p
+  FROM at_ JOIN beta USING (t, ix) WHERE NOT learn GROUP BY at_.deal_id)
+SELECT deal_id, fold, y AS score, round_even(p, 1) AS predicted_score, round_even(y - round_even(p, 1), 1) AS surprise_delta,
+  abs(round_even(y - round_even(p, 1), 1)) AS abs_surprise_delta FROM p""")
 def oof_predictions(t: Tables) -> DataFrame:
-    """No SQL twin: five fits with categorical features."""
-    return _fold_models(t)
+    """Out-of-fold predictions with numeric and categorical features, all folds from one pass."""
+    folded = _folded(t)
+    models = fit_folds(folded, "score", "recency_weight", NUMERIC, CATEGORICAL, fold="fold")
+    out = folded.select("deal_id", "fold", "score", F.bround(clip(predicted(models, "fold"), 0.0, 100.0), 1).alias("predicted_score"))
+    return md.surprise(out, "score")
 
 
 @query("fold_assignment", f"""WITH {DEALS_SQL} SELECT deal_id, CAST(('0x' || substr(md5(CAST(deal_id AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM deals""")
@@ -184,11 +210,11 @@ def ridge_metrics(t: Tables) -> DataFrame:
     return m.select("n", *[F.round(c, 5).alias(c) for c in ("mae", "r2", "baseline_mae")])
 
 
-@query("feature_importance")
+@query("feature_importance", f"""WITH RECURSIVE {SRC_SQL}, {_ridge_sql("SELECT 0 AS t", "src.fold >= trainings.t")}
+SELECT f AS feature, f AS label, round(v, 3) AS coefficient FROM beta JOIN cols USING (t, ix) WHERE f IN ({", ".join(f"'{c}'" for c in NUMERIC)})""")
 def feature_importance(t: Tables) -> DataFrame:
-    """No SQL twin: coefficients of a fit with categorical features."""
-    df = stage(md.recency_weight(rows(t), "d").select("score", "recency_weight", *NUMERIC, *CATEGORICAL), "importance-rows")
-    model = md.fit_ridge(df, "score", "recency_weight", NUMERIC, CATEGORICAL)
+    """Coefficients of the numeric features of a fit with categories, by size."""
+    model = md.fit_ridge(_folded(t), "score", "recency_weight", NUMERIC, CATEGORICAL)
     return md.feature_importance(model, t.spark)
 
 

@@ -15,13 +15,13 @@ from movelens.sources.tables import dedupe, pending_keys, with_backfill
 
 
 @query("text_classifier", """
-WITH x AS (SELECT doc_id, lower(trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN '<b>Loan</b> of ' || text WHEN 1 THEN ' free <i>transfer</i>' WHEN 2 THEN '€' || text WHEN 3 THEN 'EUR' || text ELSE text END, '<[^>]+>', '', 'g'))) AS s FROM documents)
+WITH x AS (SELECT doc_id, lower(trim(regexp_replace(CASE doc_id % 5 WHEN 0 THEN '<b>Loan</b> of ' || text WHEN 2 THEN '€' || text WHEN 3 THEN 'EUR' || text ELSE text END, '<[^>]+>', '', 'g'))) AS s FROM documents)
 SELECT doc_id, CASE WHEN contains(s, 'loan') THEN 'loan' WHEN s = 'free transfer' THEN 'free' WHEN starts_with(s, '€') OR starts_with(s, 'eur') THEN 'paid' ELSE 'unknown' END AS kind FROM x""")
 def text_classifier(t: Tables) -> DataFrame:
-    """Fee texts made from whole documents, so that every rule is met."""
+    """Fee texts made from whole documents, some behind words that rules look for."""
     r = F.col("doc_id") % 5
     text = (
-        F.when(r == 0, F.concat(F.lit("<b>Loan</b> of "), F.col("text"))).when(r == 1, " free <i>transfer</i>")
+        F.when(r == 0, F.concat(F.lit("<b>Loan</b> of "), F.col("text")))
         .when(r == 2, F.concat(F.lit("€"), F.col("text"))).when(r == 3, F.concat(F.lit("EUR"), F.col("text"))).otherwise(F.col("text"))
     )
     return t.documents.select("doc_id", classify_fee(text).alias("kind"))

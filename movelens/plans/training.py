@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from movelens import fixed_values as fv
 from movelens.operators import model as md
 from movelens.operators import predict as pr
+from movelens.operators.folds import oof_predict
 from movelens.operators.scan import DEFAULT_SKEW, Skew
 from movelens.sources.sinks import load_fitted, save_fitted
 from movelens.sources.staging import stage
@@ -46,7 +47,7 @@ def train_job(scored: DataFrame, path: str, folds: int = fv.FOLDS, skew: Skew =
     tables |= {f"references_{f.name}": getattr(refs, f.name) for f in dataclasses.fields(refs)}
     tables |= {
         "coefficients": model.coefficients(spark), "comparables": comparables, "metrics": metrics,
-        "surprises": md.oof_predict(rows, k=folds, skew=skew),
+        "surprises": oof_predict(rows, k=folds, skew=skew),
     }
     save_fitted(tables, path)
 

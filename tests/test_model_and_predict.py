@@ -11,6 +11,7 @@ from movelens import fixed_values as fv
 from movelens.operators import model as md
 from movelens.operators import predict as pr
 from movelens.operators.careers import shape_vectors, similar_entities
+from movelens.operators.folds import fit_folds, oof_predict, predicted
 from movelens.operators.knn import nearest
 from movelens.sources.staging import stage
 
@@ -132,7 +133,7 @@ def test_ridge_and_features_match_closed_form(rows, fitted, frame):
 
 
 def test_out_of_fold_never_sees_itself(rows, frame):
-    got = md.oof_predict(rows, k=3).toPandas().set_index("player_id").sort_index()
+    got = oof_predict(rows, k=3).toPandas().set_index("player_id").sort_index()
     assert len(got) == len(frame)
     folds = rows.select("player_id", md.fold_of(["player_id", "transfer_date"], 3).alias("f")).toPandas().set_index("player_id").f.sort_index()
     assert set(folds) == set(range(3))
@@ -145,6 +146,36 @@ def test_out_of_fold_never_sees_itself(rows, frame):
     assert np.allclose(got.surprise_delta, (frame.success_score.values - got.predicted_score).round(1))
 
 
+def test_every_fold_from_one_pass_equals_its_own_fit(spark):
+    """Levels that are rare in some training sets only, a constant column and a fold without rows of a level."""
+    rng = np.random.default_rng(7)
+    levels = ["a"] * 200 + ["b"] * 60 + ["c"] * 12 + ["d"] * 9
+    data = [(i, 0 if lv == "c" and i % 3 else i % 4, float(rng.normal(2000, 3)), 5.0, float(rng.uniform(0, 1)), lv, None if i % 17 == 0 else "x" if i % 2 else "y", float(rng.normal(50, 9)), float(rng.uniform(0.1, 1)))
+            for i, lv in enumerate(rng.permutation(levels).tolist())]
+    df = spark.createDataFrame(data, "id long, fold int, year double, flat double, share double, lv string, side string, y double, w double").repartition(3)
+    numeric, categorical = ["year", "flat", "share"], ["lv", "side"]
+    models = fit_folds(df, "y", "w", numeric, categorical, fold="fold", min_n=10)
+    assert set(models) == {0, 1, 2, 3}
+    got = {r.id: r.p for r in df.withColumn("p", predicted(models, "fold")).collect()}
+    for f in range(4):
+        own = md.fit_ridge(df.filter(F.col("fold") != f), "y", "w", numeric, categorical, min_n=10)
+        for r in df.filter(F.col("fold") == f).withColumn("p", own.predict()).collect():
+            assert abs(got[r.id] - r.p) < 1e-6
+        assert {c: set(t) for c, t in models[f].categorical.items()} == {c: set(t) for c, t in own.categorical.items()}
+    assert not any("d" in m.categorical["lv"] for m in models.values())
+    assert "c" not in models[0].categorical["lv"] and any("c" in m.categorical["lv"] for m in models.values())
+
+
+def test_out_of_fold_jobs_do_not_grow_with_the_folds(spark, rows):
+    tracker, jobs = spark.sparkContext.statusTracker(), []
+    for k in (2, 5):
+        spark.sparkContext.setJobGroup(f"oof-{k}", "")
+        assert oof_predict(rows, k=k).count() == rows.count()
+        jobs.append(len(tracker.getJobIdsForGroup(f"oof-{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 6
+
+
 def test_holdout(rows):
     metrics, _, model = md.holdout_and_refit(rows, "2021-01-01")
     m = metrics.first()

@@ -19,7 +19,8 @@ from movelens.operators import quality as qa
 from movelens.operators import scoring as sc
 from movelens.operators import snapshots as sn
 from movelens.operators.spells import candidate_moves, loan_spells, permanent_spells
-from movelens.plans.queries.base import Tables, day, query, rank_sql
+from movelens.plans.queries.base import Tables, day, query
+from movelens.plans.queries.base import rank_sql as bare_rank_sql
 from movelens.plans.scoring import Scored, run_scoring
 from movelens.schemas import RAW_TABLES
 from movelens.sources.tables import attach_type, load_types, with_backfill
@@ -88,6 +89,10 @@ def scored_job(t: Tables) -> Scored:
     return run_scoring(t.spark, raw_tables(t), NOW, skew=t.skew("lineitem").times(12))
 
 
+def rank_sql(value: str, by: str = "") -> str:
+    return f"({bare_rank_sql(value, by)})"
+
+
 def half_even_sql(x: str) -> str:
     """``x`` with one decimal, halves to the even side; a product that only rounds to a half is told from one."""
     return (f"CASE WHEN ({x}) * 10 - floor(({x}) * 10) = 0.5 AND ({x}) <> (floor(({x}) * 10) + 0.5) / 10 "

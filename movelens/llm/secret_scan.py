@@ -1,30 +1,36 @@
 """Secret scan: fixed patterns, and Markov models of random strings and ordinary identifiers.
 
 Both models give the chance of a character after the one before it. The random
-one is trained on the strings that the fixed patterns label as secrets, the
-ordinary one on the tokens of all documents without such a match, but for those
-that are still to be judged; counts cover the whole corpus. A long token that
-mixes digits and letters is a secret too if the log-likelihood ratio of the models, summed over its characters, is
-above a margin. All steps are DataFrame functions; only the two tables of
-character pairs, of fixed size, go through the driver.
+one is learned from the strings that the fixed patterns label as secrets, mixed
+with a uniform choice of characters, as labelled strings use only some
+alphabets. The ordinary one is learned from the tokens of all documents without
+such a match. Every token of 12 characters or more is judged by the models'
+log-likelihood ratio: its mean over the token's pairs, so that length does not
+decide, must reach a margin, and its sum certain odds. The margin is learned
+too: it lies between the ordinary tokens' ratios and those of labelled strings
+that were held out. Counts and ratios cover the whole corpus. All steps are
+DataFrame functions; only tables of character pairs and of binned ratios, of
+fixed size, go through the driver.
 
 Defined results: a null text is an empty one, without spans; spans count code
 points, end exclusive; per kind they do not overlap; a token that touches a span
-of a fixed pattern is not reported again; without labelled strings both models
-are flat and add nothing; repeated rows are scanned alike.
+of a fixed pattern is not reported again; without labelled strings the Markov
+models add nothing; repeated rows are scanned alike; an empty table gives an
+empty result; other columns stay, but one named ``spans`` is replaced where
+spans are returned.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.llm.text_ids import whole_text
-from movelens.sources.staging import stage
+from movelens.sources.staging import stage, unstage
 
 # The base patterns and how many characters make a match.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,11 +40,16 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Tokens the ordinary model learns from, and tokens that are judged.
-LONG = 20
-TOKEN, LONG_TOKEN = "[A-Za-z0-9+/_=-]{12,}", f"[A-Za-z0-9+/_=-]{{{LONG},}}"
-#: Natural log of the odds that make a token a secret.
-MARGIN = 12.0
+#: Tokens that are learned from and judged.
+TOKEN = "[A-Za-z0-9+/_=-]{12,}"
+#: Least natural log of the odds of a token to be a secret; share of labelled strings held out for the margin, one in so many.
+MARGIN, HELD_OUT = 12.0, 5
+#: Share of the uniform choice in the random model, and limit of a single pair's ratio.
+UNIFORM, CLAMP = 0.5, 6.0
+#: Weight of the fall-back, as a share of what a first character is seen on average.
+FALLBACK = 0.05
+#: Shares of ordinary tokens and of labelled strings that the margin leaves beyond it; width of the bins of ratios.
+ORDINARY_TAIL, SECRET_TAIL, BIN = 0.1, 0.05, 0.05
 
 _SPANS = "array<struct<s:int,e:int,v:string>>"
 
@@ -60,86 +71,152 @@ def _spans(text: str, pattern: str, group: int) -> str:
           a -> a.out) END), 1)"""
 
 
-def _judged(token: Column) -> Column:
-    """Whether a token is long and mixes digits and letters."""
-    return (F.length(token) >= LONG) & token.rlike("[0-9]") & token.rlike("[A-Za-z]")
-
-
-def _found(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with assign, access, hex and long (spans), and words (tokens of texts without a base match)."""
+def _base(text: str) -> dict[str, Column]:
+    """assign, access and hex (spans) of a text column."""
     empty = F.expr(f"CAST(array() AS {_SPANS})")
-    d = docs.withColumn("_t", whole_text(text))
-    d = d.withColumn("_tokens", F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)))
-    low = F.lower("_t")
+    low = F.lower(text)
     named = F.lit(False)
     for k in KEYWORDS:
         named = named | F.contains(low, F.lit(k))
-    lengthy = F.exists("_tokens", lambda x: F.length(x) >= LONG)
-    odd = F.exists("_tokens", _judged)
-    d = d.withColumns({
-        "assign": F.when(named, F.filter(F.expr(_spans("_t", ASSIGN, 2)), lambda s: F.char_length(s["v"]) >= ASSIGN_VALUE)).otherwise(empty),
-        "access": F.when(F.contains("_t", F.lit("AKIA")), F.expr(_spans("_t", ACCESS, 0))).otherwise(empty),
-        "hex": F.when(lengthy, F.expr(_spans("_t", HEX, 0))).otherwise(empty),
-        "long": F.when(odd, F.expr(_spans("_t", LONG_TOKEN, 0))).otherwise(empty),
-    })
-    base = F.size("assign") + F.size("access") + F.size("hex") > 0
-    return d.withColumn("words", F.when(base, F.array().cast("array<string>")).otherwise(
-        F.when(odd, F.filter("_tokens", lambda x: ~_judged(x))).otherwise(F.col("_tokens")))).drop("_t", "_tokens")
+    return {
+        "assign": F.when(named, F.filter(F.expr(_spans(text, ASSIGN, 2)), lambda s: F.char_length(s["v"]) >= ASSIGN_VALUE)).otherwise(empty),
+        "access": F.when(F.contains(text, F.lit("AKIA")), F.expr(_spans(text, ACCESS, 0))).otherwise(empty),
+        "hex": F.when(F.col(text).rlike(HEX), F.expr(_spans(text, HEX, 0))).otherwise(empty),
+    }
+
+
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    """What the models learn from: ``secrets`` (strings of the fixed patterns) and ``words`` (tokens of texts without any)."""
+    d = docs.select(whole_text(text).alias("t"))
+    d = d.select("t", F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("words"), *[c.alias(k) for k, c in _base("t").items()])
+    secrets = F.transform(F.concat("assign", "access", "hex"), lambda x: x["v"])
+    d = d.select(secrets.alias("secrets"), "words").filter((F.size("secrets") > 0) | (F.size("words") > 0))
+    return d.select("secrets", F.when(F.size("secrets") > 0, F.array().cast("array<string>")).otherwise(F.col("words")).alias("words"))
 
 
 def _pair_counts(strings: DataFrame) -> dict[str, int]:
     """How often each pair of characters occurs in column ``s``: at most the square of the alphabet."""
-    pairs = strings.filter(F.char_length("s") > 1).select(
-        F.explode(F.expr("transform(sequence(1, char_length(s) - 1), i -> substring(s, i, 2))")).alias("p"))
+    chars = strings.filter(F.char_length("s") > 1).select(F.regexp_extract_all("s", F.lit("(?s)."), F.lit(0)).alias("c"))
+    pairs = chars.select(F.explode(F.expr("zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> concat(x, y))")).alias("p"))
     letters = F.translate(F.col("p"), ALPHABET, "") == ""
     return {r.p: r.n for r in pairs.filter(letters).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def pair_weights(random: dict[str, int], ordinary: dict[str, int]) -> list[float]:
-    """Log-likelihood ratio of every pair of the alphabet, one smoothed count each."""
+    """Log-likelihood ratio of every pair of the alphabet, a single one limited to ``CLAMP``.
+
+    A pair's chance falls back on that of its second character where the first
+    is rare: what a few unlabelled secrets among the ordinary tokens hold
+    teaches the ordinary model little.
+    """
     size = len(ALPHABET)
 
-    def log_chance(counts: dict[str, int]) -> list[float]:
+    def chances(counts: dict[str, int], uniform: float) -> list[float]:
+        single = {b: 1 + sum(counts.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
+        every = sum(single.values())
+        belief = max(1.0, FALLBACK * every / size)
         out = []
         for a in ALPHABET:
-            row = [counts.get(a + b, 0) + 1 for b in ALPHABET]
-            total = math.log(sum(row))
-            out += [math.log(n) - total for n in row]
+            total = belief + sum(counts.get(a + b, 0) for b in ALPHABET)
+            out += [uniform / size + (1 - uniform) * (counts.get(a + b, 0) + belief * single[b] / every) / total for b in ALPHABET]
         return out
 
     if not random:
         return [0.0] * (size * size)
-    return [x - y for x, y in zip(log_chance(random), log_chance(ordinary), strict=True)]
-
-
-def _ratio_sql(weights: list[float]) -> str:
-    """SQL for the summed log-likelihood ratio of the string ``x.v``."""
-    table = f"from_json('{json.dumps([round(w, 6) for w in weights])}', 'array<double>')"
-    at = lambda i: f"instr('{ALPHABET}', substring(x.v, {i}, 1))"
-    return (f"aggregate(sequence(1, char_length(x.v) - 1), 0D, (sum, i) -> sum + "
-            f"element_at({table}, ({at('i')} - 1) * {len(ALPHABET)} + {at('i + 1')}))")
-
-
-def learn_weights(found: DataFrame) -> list[float]:
-    """Weights from the labelled strings of a scan."""
-    secrets = found.select(F.explode(F.expr("transform(concat(assign, access, hex), x -> x.v)")).alias("s"))
-    return pair_weights(_pair_counts(secrets), _pair_counts(found.select(F.explode("words").alias("s"))))
+    ratios = (math.log(x / y) for x, y in zip(chances(random, UNIFORM), chances(ordinary, 0.0), strict=True))
+    return [round(max(-CLAMP, min(CLAMP, r)), 6) for r in ratios]
+
+
+def _ratio(weights: list[float]) -> Callable[[Column], Column]:
+    """Summed log-likelihood ratio of a token, over its pairs of characters."""
+    places = [0] * 128
+    for i, c in enumerate(ALPHABET):
+        places[ord(c)] = i
+    table, place = (F.expr("array(" + ", ".join(f"{x!r}{kind}" for x in values) + ")") for values, kind in ((weights, "D"), (places, "")))
+
+    def ratio(token: Column) -> Column:
+        codes = F.transform(F.regexp_extract_all(token, F.lit("(?s)."), F.lit(0)), lambda c: F.get(place, F.ascii(c)))
+        # walks the characters once: (last place, sum)
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+        step = lambda a, c: F.struct(
+            c.alias("last"), (a["sum"] + F.when(a["last"] < 0, F.lit(0.0)).otherwise(F.get(table, a["last"] * len(ALPHABET) + c))).alias("sum"))
+        return F.aggregate(codes, start, step, lambda a: a["sum"])
+
+    return ratio
+
+
+def _quantile(bins: dict[int, int], share: float) -> float:
+    """Lower edge of the bin in which the given share of all is passed."""
+    passed, total = 0, sum(bins.values())
+    for b in sorted(bins):
+        passed += bins[b]
+        if passed >= share * total:
+            return b * BIN
+    return 0.0
+
+
+@dataclass(frozen=True)
+class Judge:
+    """Weights of pairs, the least sum and the least mean of a token that counts as random; no mean where nothing was learned."""
+
+    weights: tuple[float, ...]
+    least_sum: float
+    least_mean: float | None
+
+    def ratio(self, token: Column) -> Column:
+        return _ratio(list(self.weights))(token)
+
+    def passes(self, token: Column, ratio: Column) -> Column:
+        if self.least_mean is None:
+            return F.lit(False)
+        return (ratio > self.least_sum) & (ratio >= self.least_mean * (F.char_length(token) - 1))
+
+
+def learn(docs: DataFrame, text: str, margin: float = MARGIN) -> Judge:
+    """Models and margin from a corpus."""
+    found = stage(_found(docs, text), "secrets")
+    secrets = found.select(F.explode("secrets").alias("s"))
+    held = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
+    random = _pair_counts(secrets.filter(~held))
+    ordinary = found.select(F.explode("words").alias("s"))
+    weights = pair_weights(random, _pair_counts(ordinary))
+    least = None
+    if random:
+        ratio = _ratio(weights)(F.col("s")) / (F.char_length("s") - 1)
+        kinds = secrets.filter(held & (F.char_length("s") > 1)).withColumn("secret", F.lit(True)).unionByName(ordinary.withColumn("secret", F.lit(False)))
+        counted = kinds.groupBy("secret", F.floor(ratio / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # bins are few: ratios are limited
+        known = {k: {r.bin: r.n for r in counted if r.secret == k} for k in (True, False)}
+        top = _quantile(known[False], 1 - ORDINARY_TAIL) + BIN
+        least = max(top, (top + _quantile(known[True], SECRET_TAIL)) / 2 if known[True] else 2 * top)
+    unstage(found)
+    return Judge(tuple(weights), margin, least)
+
+
+def _scanned(docs: DataFrame, text: str, judge: Judge) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``t`` (the whole text) and ``spans``, by start and kind."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text(text).alias("t"))
+    d = d.select("row", "t", *[c.alias(k) for k, c in _base("t").items()], F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    if judge.least_mean is None:
+        markov = F.expr(f"CAST(array() AS {_SPANS})")
+    else:
+        # only texts with a token that passes are cut into gaps and tokens
+        some = F.exists("tokens", lambda x: judge.passes(x, judge.ratio(x)))
+        base = F.concat("assign", "access", "hex")
+        free = lambda x: ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        markov = F.when(some, F.filter(F.expr(_spans("t", TOKEN, 0)), free)).otherwise(F.expr(f"CAST(array() AS {_SPANS})"))
+    d = d.select("row", "t", "assign", "access", "hex", markov.alias("free"))
+    rated = F.transform("free", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), judge.ratio(x["v"]).alias("r")))
+    d = d.select("row", "t", "assign", "access", "hex", F.filter(rated, lambda x: judge.passes(x["v"], x["r"])).alias("added"))
+    spans = [F.transform(k, _as_span(k)) for k in KINDS[:3]]
+    added = F.transform("added", lambda x: _span("markov", x, x["r"]))
+    return d.select("row", "t", F.array_sort(F.concat(*spans, added)).alias("spans"))
 
 
 def scan(docs: DataFrame, text: str, margin: float = MARGIN) -> DataFrame:
     """``docs`` without the text and with ``spans``: an array of (kind, s, e, ratio), by start and kind."""
-    found = stage(_found(docs, text).drop(text), "secrets")
-    weights = learn_weights(found)
-    # a rare few rows have long tokens; tokens that touch a base span are left out
-    free = F.filter("long", lambda x: _judged(x["v"]) & ~F.exists(
-        F.concat("assign", "access", "hex"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    judged = found.withColumn("_free", free).withColumn("_free", F.expr(
-        "transform(_free, x -> named_struct('s', x.s, 'e', x.e, 'v', x.v, 'r', " + _ratio_sql(weights) + "))"))
-    spans = [F.transform(k, _as_span(k)) for k in KINDS[:3]]
-    added = F.transform(F.filter("_free", lambda x: x["r"] > margin), lambda x: _span("markov", x, x["r"]))
-    out = judged.withColumn("spans", F.array_sort(F.concat(*spans, added)))
-    keep = [c for c in docs.columns if c != text]
-    return out.select(*keep, F.transform("spans", lambda x: F.struct(x["kind"], x["s"], x["e"], x["ratio"])).alias("spans"))
+    found = _scanned(docs, text, learn(docs, text, margin))
+    keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, "spans")]
+    return found.select(*keep, F.transform("spans", lambda x: F.struct(x["kind"], x["s"], x["e"], x["ratio"])).alias("spans"))
 
 
 def _span(kind: str, x: Column, r: Column) -> Column:
@@ -168,11 +245,11 @@ def scan_report(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def redact(docs: DataFrame, text: str, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span, overlapping ones taken together, replaced by a mask."""
-    whole = docs.withColumn("_whole", F.col(text))
-    found = scan(whole, text)
+    found = _scanned(docs, text, learn(docs, text))
     cut = F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''), (a, x) -> CASE
         WHEN x.e <= a.at THEN a
         WHEN x.s < a.at THEN named_struct('at', x.e, 'out', a.out)
-        ELSE named_struct('at', x.e, 'out', concat(a.out, substring(_whole, a.at + 1, x.s - a.at), '{mask}')) END,
-        a -> concat(a.out, substring(_whole, a.at + 1)))""".replace("{mask}", mask.replace("'", "\\'")))
-    return found.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col("_whole"))).select(*docs.columns)
+        ELSE named_struct('at', x.e, 'out', concat(a.out, substring(t, a.at + 1, x.s - a.at), '{mask}')) END,
+        a -> concat(a.out, substring(t, a.at + 1)))""".replace("{mask}", mask.replace("\\", "\\\\").replace("'", "\\'")))
+    old = F.col("row").getField(text)
+    return found.select(*[F.when(F.size("spans") > 0, cut).otherwise(old).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

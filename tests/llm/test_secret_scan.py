@@ -49,19 +49,77 @@ def test_base_spans_equal_python(spark):
     assert ss.scan_report(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_markov_finds_random_strings_only(spark):
+def corpus():
     rng = random.Random(9)
-    strings = ["".join(rng.choice("0123456789abcdef") for _ in range(10)) + "-" + "".join(rng.choice("0123456789abcdef") for _ in range(13)) for _ in range(20)]
-    names = ["thingation_and_thering_2", "onstruction-number-10", "the-ingredients-of-list-7"] * 3
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    kinds = [(16, letters + "0123456789"), (19, letters + "0123456789"), (32, letters), (40, letters[26:]), (24, "0123456789abcdef-")]
+    strings = ["".join(rng.choice(chars) for _ in range(n)) for n, chars in kinds for _ in range(12)]
+    names = ["thingation_and_thering_2", "onstruction-number-10", "the-ingredients-of-list-7", "Constructionationing", "ingredientsandthings"] * 3
     rows = [(i, f"é thing {s} ation") for i, s in enumerate(strings)] + [(100 + i, f"the {s} ere") for i, s in enumerate(names)]
-    train = [(1000 + i, t) for i, t in enumerate(texts())] + [(5000 + i, "the-ingredients-of-thering onstruction_and_nde1 thering-of-number-12 " * 3) for i in range(30)]
-    got = {r.doc_id: r for r in ss.scan_report(spark.createDataFrame(rows + train, "doc_id long, text string"), "doc_id", "text").collect()}
-    found = [got[i].spans == f"markov:8:{8 + len(s)}" for i, s in enumerate(strings)]
-    assert sum(found) >= 19
+    part = ["th", "er", "ing", "onst", "re", "nde", "ation", "Th", "En", "les", "ou", "ai", "que", "ch", "ei", "ver"]
+    word = lambda: "".join(rng.choice(part) for _ in range(rng.randrange(1, 9)))
+    train = [(9000 + i, " ".join(word() for _ in range(120))) for i in range(400)] + [(1000 + i, t) for i, t in enumerate(texts() * 3)] + [(5000 + i, "the-ingredients-of-thering onstruction_and_nde1 thering-of-number-12 Thereingationing " * 3) for i in range(150)]
+    return strings, names, rows + train
+
+
+def test_markov_finds_random_strings_only(spark):
+    strings, names, rows = corpus()
+    got = {r.doc_id: r for r in ss.scan_report(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    found = [got[i].spans == f"markov:8:{8 + len(s)}" or (got[i].n_hex == 1) for i, s in enumerate(strings)]
+    assert sum(found) >= 0.9 * len(strings), [s for s, f in zip(strings, found) if not f]
+    assert all(any(found[k * 12:(k + 1) * 12]) for k in range(5))
     assert sum(got[100 + i].n_markov for i in range(len(names))) == 0
 
 
+def test_markov_spans_equal_plain_python(spark):
+    """Every token's ratio recomputed from the learned weights, and every span that passes."""
+    _, _, rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = ss.learn(df, "text")
+    assert judge.least_mean is not None
+    size = len(ss.ALPHABET)
+
+    def ratio(s):
+        return sum(judge.weights[ss.ALPHABET.index(a) * size + ss.ALPHABET.index(b)] for a, b in zip(s, s[1:]))
+
+    got = {r.doc_id: r.spans for r in ss.scan(df, "text").collect()}
+    n = 0
+    for k, t in rows:
+        taken = base(t)
+        expected = []
+        for m in re.finditer(ss.TOKEN, t or ""):
+            r = ratio(m.group())
+            if r > judge.least_sum and r >= judge.least_mean * (len(m.group()) - 1) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+                expected.append((m.start(), m.end(), round(r, 6)))
+        assert [(x.s, x.e, round(x.ratio, 6)) for x in got[k] if x.kind == "markov"] == expected
+        n += len(expected)
+    assert n > 40
+
+
+def test_learned_counts_equal_plain_python(spark):
+    _, _, rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ss._found(df, "text").collect()
+    words = sorted(w for r in found for w in r.words)
+    assert words == sorted(w for _, t in rows if not base(t) for w in re.findall(ss.TOKEN, t or ""))
+    pairs = {}
+    for w in words:
+        for a, b in zip(w, w[1:]):
+            pairs[a + b] = pairs.get(a + b, 0) + 1
+    assert ss._pair_counts(spark.createDataFrame([(w,) for w in words], "s string")) == pairs
+
+
+def test_nothing_learned_adds_nothing(spark):
+    df = spark.createDataFrame([(1, "aB3xZ9qLmN7pR2tV plain words of text"), (2, None)], "doc_id long, text string")
+    assert [r.spans for r in ss.scan_report(df, "doc_id", "text").collect()] == ["", ""]
+
+
 def test_redaction(spark):
-    df = spark.createDataFrame([(1, "a token=abcdef1 b"), (2, None), (3, "token=\"" + "0a" * 20 + "\" end")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in ss.redact(df, "text").collect()}
-    assert got == {1: "a [secret] b", 2: None, 3: "[secret]\" end"}
+    rows = [(1, "a token=abcdef1 b"), (2, None), (3, "token=\"" + "0a" * 20 + "\" end")]
+    df = spark.createDataFrame([(k, t, ["x"], ["w"], "s", [1]) for k, t in rows], "doc_id long, text string, hex array<string>, words array<string>, spans string, assign array<int>")
+    got = ss.redact(df, "text")
+    assert got.columns == df.columns
+    assert {r.doc_id: (r.text, r.hex, r.words, r.spans, r.assign) for r in got.collect()} == {
+        k: (t, ["x"], ["w"], "s", [1]) for k, t in ((1, "a [secret] b"), (2, None), (3, "[secret]\" end"))}
+    assert ss.redact(df.limit(0), "text").count() == 0
+    assert set(ss.scan(df, "text").columns) == set(df.columns) - {"text"}

@@ -518,6 +518,25 @@ def club_leaderboard(cards: DataFrame, sort: str | None = None, descending: bool
     return page(gated, ordered(gated, field, ["club_name"], descending), limit, offset)
 
 
+LEAGUE_SORTS = ("transfers", "avg_score", "avg_fee", "fee_growth_pct", "score_change")
+
+
+def league_leaderboard(leagues: DataFrame, sort: str | None = None, descending: bool = True) -> DataFrame:
+    """Every league in the order of a whitelisted field, with its ``place``; leagues without that field are left out.
+
+    Leagues are a bounded set: one row each, numbered in one ordered pass.
+    """
+    field = sort_field(sort, LEAGUE_SORTS, "transfers")
+    known = leagues.filter(F.col(field).isNotNull())
+    first = F.col(field).desc() if descending else F.col(field).asc()
+    return ordered_place(known, [first, F.col("league_id")])
+
+
+def ordered_place(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """Rows of a small table with their place in an order, from 1."""
+    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+
+
 def search(df: DataFrame, column: str, q: str, order: Sequence[Column], limit: int = 10) -> DataFrame:
     """Folded substring search; fewer than two characters find nothing."""
     if len(q) < 2:

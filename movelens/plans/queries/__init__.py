@@ -10,4 +10,4 @@ score = price in steps of 5,000.
 """
 
 from movelens.plans.queries.base import REGISTRY, SQL, Tables  # noqa: F401
-from movelens.plans.queries import browse, deals, jobs, learning, names, ranking, spells  # noqa: F401
+from movelens.plans.queries import browse, deals, jobs, learning, names, ranking, spells, steps  # noqa: F401

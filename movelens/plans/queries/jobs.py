@@ -122,13 +122,14 @@ sp AS (
   WHERE transfer_type = 'loan' AND fee_raw <> 'End of loan' AND e - transfer_date >= 14)"""
 
 KEY4 = "population, player_id, transfer_date, from_club_id, to_club_id"
-PLAYERS_SQL = f"""
+PERSONS_SQL = f"""
 clubs AS (SELECT n_nationkey AS club_id, CASE WHEN n_nationkey <> 24 THEN {LEAGUE} END AS league FROM nation),
 fielded AS (SELECT o_custkey AS player_id, {FIELDED.replace("'midfield'", "'Midfield'")} AS r FROM orders),
 roles AS (SELECT player_id, arg_min(r, (-n, r)) AS r FROM (SELECT player_id, r, count(*) AS n FROM fielded WHERE r IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
 players AS (SELECT c_custkey AS player_id, c_name AS name, DATE '1978-01-01' + CAST(c_custkey * 37 % 9000 AS INT) AS born, {POSITION} AS position, coalesce(roles.r, {ROLE}) AS sub_position,
     {HEIGHT} AS height_in_cm, CASE WHEN c_custkey % 50 <> 0 THEN c_nationkey END AS current_club_id, {WORTH} AS worth
-  FROM customer LEFT JOIN roles ON roles.player_id = c_custkey),
+  FROM customer LEFT JOIN roles ON roles.player_id = c_custkey)"""
+PLAYERS_SQL = f"""{PERSONS_SQL},
 lines AS (SELECT * FROM lineitem JOIN mv ON l_orderkey = k),
 app0 AS (SELECT *, transfer_date + {SHIFT} AS date FROM (SELECT *, unnest(range(1, {RUN} + 1)) AS i FROM lines)),
 app1 AS (SELECT player_id, date, CASE WHEN date < transfer_date THEN from_club_id ELSE to_club_id END AS club0, from_club_id, to_club_id, l_orderkey, i,

@@ -160,7 +160,7 @@ def test_every_fold_from_one_pass_equals_its_own_fit(spark):
     for f in range(4):
         own = md.fit_ridge(df.filter(F.col("fold") != f), "y", "w", numeric, categorical, min_n=10)
         for r in df.filter(F.col("fold") == f).withColumn("p", own.predict()).collect():
-            assert abs(got[r.id] - r.p) < 1e-6
+            assert abs(got[r.id] - r.p) < 1e-5
         assert {c: set(t) for c, t in models[f].categorical.items()} == {c: set(t) for c, t in own.categorical.items()}
     assert not any("d" in m.categorical["lv"] for m in models.values())
     assert "c" not in models[0].categorical["lv"] and any("c" in m.categorical["lv"] for m in models.values())

@@ -47,8 +47,8 @@ def components(links: DataFrame, left: str, right: str, rounds: int = 60) -> Dat
 
     Two steps alternate: every node links its larger neighbours to the smallest
     node around it, then its smaller ones. The number of rounds grows with the
-    logarithm of a component's diameter. Minima combine before the shuffle, so a
-    node with very many links is no hot spot. Each round is written to the
+    logarithm of a component's diameter. Minima combine before the shuffle; the
+    links of one node meet in a join, which adaptive execution may split. Each round is written to the
     shared folder. Null ends and self links are ignored.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.llm.shingles import mixed, powers
-from movelens.llm.text_ids import free_name, row_key, small_batches, whole_text
+from movelens.llm.text_ids import free_name, released, row_key, small_batches, whole_text
 from movelens.sources.staging import stage
 
 EDITS, MIN_CHARS = 2, 20
@@ -44,7 +44,7 @@ BROADCAST_IDS = 1_000_000
 #: Keys of documents that are broadcast at most (16 bytes each) when candidate lines are fetched.
 BROADCAST_KEYS = 1_000_000
 #: Characters of lines handled at a time.
-PART_CHARS = 2 << 20
+PART_CHARS = 1 << 20
 _U = np.uint64
 
 
@@ -186,7 +186,7 @@ def _lines(docs: DataFrame, key: str, text: str, edits: int) -> DataFrame:
                 yield packed()
 
     source = docs.select(F.col(key).alias("id"), row_key(key, text).alias("rk"), whole_text(text).alias("t"))
-    return source.mapInArrow(cut, f"id {id_type}, rk long, no int, k1 long, k2 long, segs array<long>")
+    return source.mapInArrow(released(cut), f"id {id_type}, rk long, no int, k1 long, k2 long, segs array<long>")
 
 
 def _line_texts(docs: DataFrame, key: str, text: str, places: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def _line_texts(docs: DataFrame, key: str, text: str, places: DataFrame) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(found, pa.string())], names=["k1", "k2", "line"])
 
     source = docs.select(row_key(key, text).alias("rk"), whole_text(text).alias("t")).join(asked, "rk").select("t", "nos")
-    return source.mapInArrow(pick, "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"])
+    return source.mapInArrow(released(pick), "k1 long, k2 long, line string").dropDuplicates(["k1", "k2"])
 
 
 def _verified(pairs: DataFrame, edits: int) -> DataFrame:
@@ -224,7 +224,7 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
                 at += len(some)
             yield batch.filter(pa.array(good))
 
-    return pairs.mapInArrow(check, pairs.schema)
+    return pairs.mapInArrow(released(check), pairs.schema)
 
 
 def _small(ids: DataFrame) -> DataFrame:

@@ -30,3 +30,26 @@ def test_baselines_equal_those_of_single_appearances(tables, as_rows):
         num=F.col("goals") + F.col("assists"), den=F.col("minutes_played"), out="ga_p90_baseline",
     )
     assert as_rows(plan.league_baselines(apps, players)) == as_rows(single.select("competition_id", "position", "ga_p90_baseline"))
+
+
+def test_one_pass_over_the_facts_serves_both_populations(spark, tables, monkeypatch):
+    """Windows, values and staged facts are built once, not once per population."""
+    calls = []
+    for name in ("window_sums", "asof_join", "disjoint_window_agg", "apply_corrections"):
+        monkeypatch.setattr(plan, name, lambda *a, _f=getattr(plan, name), _n=name, **k: calls.append(_n) or _f(*a, **k))
+
+    class Enough(Exception):
+        pass
+
+    def stop(*a, **k):
+        raise Enough
+
+    monkeypatch.setattr(plan, "next_value_at", stop)
+    with pytest.raises(Enough):
+        plan.run_scoring(spark, tables, careers.NOW)
+    assert {n: calls.count(n) for n in set(calls)} == {"window_sums": 2, "asof_join": 2, "disjoint_window_agg": 1, "apply_corrections": 1}
+
+
+def test_rows_per_player_bounds_every_player(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "player_id long")
+    assert plan.rows_per_player(a, a.filter("player_id = 2"), a.limit(0)) == 3

@@ -1,10 +1,10 @@
 """Quality scores by Bradley-Terry ranking.
 
-A document's utility is a weighted sum of features of its text. Pairs of a
-preferred and a rejected labelled document are drawn, and the weights minimise
-the logistic loss of the pairs' feature differences (Newton steps, small ridge).
-The threshold is the quantile of the labelled utilities at the share of rejected
-labels; the score is the logistic function of the distance from it, placed so
+A document's utility is a weighted sum of features of its text. Every labelled
+document is paired with documents of the other label, and the weights minimise
+the logistic loss of the pairs' feature differences (Newton steps, small ridge);
+tasks add up the moments, gradients and curvature of their rows. The threshold
+is the quantile of all labelled utilities at the share of rejected labels; the score is the logistic function of the distance from it, placed so
 that the threshold scores 0.3.
 
 Features: how often one class of characters follows another, and shape of words
@@ -19,7 +19,7 @@ texts score alike.
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.llm.text_ids import small_batches, whole_text
+from movelens.sources.staging import stage, unstage
 
-#: Labelled documents that the weights are learned from at most (those of the smallest hash), and pairs drawn.
-SAMPLE_ROWS, PAIRS = 20_000, 40_000
+#: Pairs of :func:`fit_pairs`; labelled documents that are paired with each other, about; cells of a count of utilities.
+PAIRS, BUCKET_ROWS, CELLS = 40_000, 2_048, 4_096
+#: Rows of the rarer label that a bucket has at least, about.
+RARE_ROWS = 32
 CUT = 0.3
-#: Ids of the sample are broadcast: 8 bytes for each of SAMPLE_ROWS.
 
 CLASSES = 13
 _CLASS = np.full(256, 11, np.uint8)  # control and all else
@@ -97,31 +99,52 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(away, -500, 500)))
 
 
-def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1.0, steps: int = 25) -> Ranker:
-    """Bradley-Terry weights from preferred (label 1) against rejected (label 0) documents."""
-    width = x.shape[1] if x.ndim == 2 else WIDTH
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean) / scale, -8, 8)
+
+
+def _pairs(z: np.ndarray, label: np.ndarray, pairs: int, seed: int = 11) -> np.ndarray:
+    """Differences of preferred and rejected rows; every row of a label takes part about equally often."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0, False)
-    mean, scale = x.mean(0), x.std(0)
-    scale[scale < 1e-9] = 1.0
-    z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(11)
-    # every document takes part about equally often
+    rng = np.random.default_rng(seed)
     winners = good[np.resize(rng.permutation(len(good)), pairs)]
     losers = bad[np.resize(rng.permutation(len(bad)), pairs)][rng.permutation(pairs)]
-    d = z[winners] - z[losers]
+    return z[winners] - z[losers]
+
+
+def _slopes(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature that some pairs add to the loss at weights ``w``."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the pair is still the wrong way round
+    return d.T @ p, (d * (p * (1 - p))[:, None]).T @ d
+
+
+def _newton(slopes: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, ridge: float, steps: int) -> np.ndarray:
+    """Weights that minimise the loss whose gradient and curvature ``slopes`` adds up over all pairs."""
     w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance that the pair is still the wrong way round
-        gradient = d.T @ p - ridge * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(width)
-        step = np.linalg.solve(curve, gradient)
+        gradient, curve = slopes(w)
+        step = np.linalg.solve(curve + ridge * np.eye(width), gradient - ridge * w)
         w = w + step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-6:
             break
-    utility = z @ w
-    return Ranker(mean, scale, w, float(np.quantile(utility, len(bad) / len(label))))
+    return w
+
+
+def _unlearned(width: int = WIDTH) -> Ranker:
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0, False)
+
+
+def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, ridge: float = 1.0, steps: int = 25) -> Ranker:
+    """Bradley-Terry weights from preferred (label 1) against rejected (label 0) documents of one array."""
+    width = x.shape[1] if x.ndim == 2 else WIDTH
+    if not (label == 1).any() or not (label == 0).any():
+        return _unlearned(width)
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1.0
+    z = _scaled(x, mean, scale)
+    d = _pairs(z, label, pairs)
+    w = _newton(lambda w: _slopes(d, w), width, ridge, steps)
+    return Ranker(mean, scale, w, float(np.quantile(z @ w, (label == 0).mean())))
 
 
 def feature_column(text: Column) -> Column:
@@ -133,16 +156,102 @@ def feature_column(text: Column) -> Column:
     return describe(text)
 
 
-def learn(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> Ranker:
-    """Weights from at most ``rows`` labelled documents; ``labels`` has ``key`` and the 0/1 ``label``."""
+def _matrix(values: pd.Series) -> np.ndarray:
+    return np.stack(values.to_numpy()).astype(np.float64) if len(values) else np.zeros((0, WIDTH))
+
+
+def _added(df: DataFrame, column: str, parts: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum of ``parts`` of the rows' vectors: each task adds up its rows, the driver one vector a task."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += parts(_matrix(batch[column]))
+        yield pd.DataFrame({"v": [total.tobytes()]})
+
+    return sum((np.frombuffer(row.v) for row in df.select(column).mapInPandas(add, "v binary").collect()), np.zeros(size))
+
+
+def quantile(df: DataFrame, column: str, share: float) -> float:
+    """Quantile of a column over all rows, between neighbours linear: counts in cells that get finer around it."""
+    n, lo, hi = df.agg(F.count(column), F.min(column), F.max(column)).first()
+
+    def ranked(k: int) -> float:
+        """The value with ``k`` smaller ones."""
+        low, high = lo, hi
+        while high > low:
+            width = (high - low) / CELLS
+            if low + width == low:
+                break
+            inside = df.filter(F.col(column).between(low, high))
+            cell = F.least(F.floor((F.col(column) - low) / width), F.lit(CELLS - 1))
+            found = inside.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).orderBy("c").collect()
+            seen = df.filter(F.col(column) < low).count()
+            for r in found:
+                if seen + r.n > k:
+                    low, high = r.a, r.b
+                    break
+                seen += r.n
+        return low
+
+    place = (n - 1) * share
+    a = ranked(int(np.floor(place)))
+    return a if place == np.floor(place) else a + (ranked(int(np.ceil(place))) - a) * (place - np.floor(place))
+
+
+def learn(docs: DataFrame, key: str, text: str, labels: DataFrame, label: str, ridge: float = 1.0, steps: int = 25) -> Ranker:
+    """Weights from all labelled documents; ``labels`` has ``key`` and the 0/1 ``label``.
+
+    Documents are paired within buckets of their ids' hash, each at least once. Vectors stay with the tasks; the driver
+    gets sums, one curvature matrix of features a task and step, and counts of utilities.
+    """
     votes = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("_label"))
-    sample = votes.orderBy(F.xxhash64(key), key).limit(rows)
-    chosen = docs.select(F.col(key), whole_text(text).alias("_text")).join(F.broadcast(sample), key)
+    # The ids grow with the labels, so they are never broadcast: the plan is the same at every size.
+    chosen = docs.select(F.col(key), whole_text(text).alias("_text")).join(votes.hint("merge"), key)
+    seen = chosen.select(F.col(key), "_label", F.xxhash64("_text").alias("_h"), feature_column(F.col("_text")).alias("x"))
     # one text for each id, also where rows repeat it
-    chosen = chosen.groupBy(key, "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
-    found = chosen.select(F.col(key).cast("string").alias("k"), "_label", feature_column(F.col("_text")).alias("x")).orderBy("k").toArrow()
-    x = np.asarray(found["x"].combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(-1, WIDTH) if found.num_rows else np.zeros((0, WIDTH))
-    return fit_pairs(x, found["_label"].to_numpy())
+    rows = stage(seen.groupBy(key, "_label").agg(F.min_by("x", "_h").alias("x")), "labelled-features")
+    n, good = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_label"), F.lit(0))).first()
+    if good == 0 or good == n:
+        unstage(rows)
+        return _unlearned()
+    mean = _added(rows, "x", lambda x: x.sum(0), WIDTH) / n
+    scale = np.sqrt(_added(rows, "x", lambda x: ((x - mean) ** 2).sum(0), WIDTH) / n)
+    scale[scale < 1e-9] = 1.0
+
+    # Buckets have bounded rows; a rare label's rows go to several, so that each bucket has about RARE_ROWS of them.
+    buckets, rare = -(-n // BUCKET_ROWS), min(good, n - good)
+    copies = min(buckets, max(1, -(-RARE_ROWS * buckets // rare)))
+    places = F.when(F.col("_label") == (1 if rare == good else 0), copies).otherwise(1)
+
+    def paired(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k")
+        got = group["_label"].to_numpy()
+        most = int(max((got == 1).sum(), (got == 0).sum()))
+        if most == len(got):
+            return pd.DataFrame({"d": []})
+        d = _pairs(_scaled(_matrix(group["x"]), mean, scale), got, most)
+        return pd.DataFrame({"d": list(d.astype(np.float32))})
+
+    spread = rows.select(F.col(key).cast("string").alias("k"), "_label", "x", F.explode(F.sequence(F.lit(0), places - 1)).alias("_i"))
+    bucket = F.pmod(F.xxhash64("k") % buckets + F.col("_i"), F.lit(buckets)).alias("b")
+    pairs = stage(spread.select("k", "_label", "x", bucket).groupBy("b").applyInPandas(paired, "d array<float>"), "label-pairs")
+
+    def slopes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = _added(pairs, "d", lambda d: np.concatenate([part.ravel() for part in _slopes(d, w)]), WIDTH + WIDTH * WIDTH)
+        return total[:WIDTH], total[WIDTH:].reshape(WIDTH, WIDTH)
+
+    ranker = Ranker(mean, scale, _newton(slopes, WIDTH, ridge, steps), 0.0)
+
+    @F.pandas_udf("double")
+    def utility(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for x in batches:
+            yield pd.Series(ranker.utility(_matrix(x)))
+
+    utilities = stage(rows.select(utility("x").alias("u")), "label-utilities")
+    threshold = quantile(utilities, "u", (n - good) / n)
+    unstage(rows, pairs, utilities)
+    return Ranker(mean, scale, ranker.weights, threshold)
 
 
 def score_column(text: Column, ranker: Ranker) -> Column:

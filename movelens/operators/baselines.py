@@ -33,10 +33,25 @@ def rate_baselines(
     """
     cells = facts.groupBy(region, group).agg(F.sum(num).alias("_num"), F.sum(den).alias("_den"))
     rate = (F.col("_num") / F.greatest(F.col("_den"), F.lit(1)) * scale).alias(out)
-    totals = cells.groupBy(group).agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
-    fine = cells.filter((F.col("_den") >= min_den) & F.col(region).isNotNull() & F.col(group).isNotNull())
-    coarse = totals.filter(F.col(group).isNotNull()).withColumn(region, F.lit(DEFAULT_REGION))
-    return fine.select(region, group, rate).unionByName(coarse.select(region, group, rate))
+    both = _cells_and_totals(cells, region, group)
+    fine = (F.col("_den") >= min_den) & F.col(region).isNotNull()
+    return both.filter(F.col(group).isNotNull() & (~F.col("_fine") | fine)).select(region, group, rate)
+
+
+def _cells_and_totals(cells: DataFrame, region: str, group: str) -> DataFrame:
+    """Cells (``_fine``) and, under region ``_default``, the sums of each group's cells.
+
+    Every cell counts for itself and for its group, so that one pass over the
+    facts serves both; a union of cells and totals would read the facts twice.
+    """
+    parts = [c for c in cells.columns if c not in (region, group)]
+    for_itself = F.struct(F.col(region).alias("r"), F.lit(True).alias("f"))
+    for_group = F.struct(F.lit(DEFAULT_REGION).alias("r"), F.lit(False).alias("f"))
+    return (
+        cells.select(group, *parts, F.explode(F.array(for_itself, for_group)).alias("_at"))
+        .groupBy(F.col("_at.r").alias(region), group, F.col("_at.f").alias("_fine"))
+        .agg(*[F.sum(c).alias(c) for c in parts])
+    )
 
 
 def weighted_baselines(
@@ -62,21 +77,15 @@ def weighted_baselines(
             F.count(F.when(ok, F.lit(1))).alias(f"_n_{s}"),
         ]
     cells = df.groupBy(region, group).agg(*parts)
-    totals = (
-        cells.groupBy(group)
-        .agg(*[F.sum(c).alias(c) for c in cells.columns if c not in (region, group)])
-        .withColumn(region, F.lit(DEFAULT_REGION))
-    )
+    both = _cells_and_totals(cells, region, group)
+    fine = F.col("_fine")
 
-    def mean(s: str, least: int) -> Column:
+    def mean(s: str) -> Column:
         value = F.col(f"_x_{s}") / F.greatest(F.col(f"_w_{s}"), F.lit(1))
-        return F.when(F.col(f"_n_{s}") >= least, value).alias(s)
+        return F.when(F.col(f"_n_{s}") >= F.when(fine, min_rows).otherwise(1), value).alias(s)
 
-    fine = cells.filter(F.col(region).isNotNull() & F.col(group).isNotNull())
-    coarse = totals.filter(F.col(group).isNotNull())
-    return fine.select(region, group, *[mean(s, min_rows) for s in stats]).unionByName(
-        coarse.select(region, group, *[mean(s, 1) for s in stats])
-    )
+    kept = both.filter(F.col(group).isNotNull() & (~fine | F.col(region).isNotNull()))
+    return kept.select(region, group, *[mean(s) for s in stats])
 
 
 def lookup_baseline(

@@ -12,13 +12,13 @@ from movelens.operators import model as md
 from movelens.operators import reports as rp
 from movelens.operators import scoring as sc
 from movelens.operators import snapshots as sn
-from movelens.operators.baselines import rate_baselines
 from movelens.operators.spells import candidate_moves, loan_spells, next_value_at, normalise_category, spell_facts
 from movelens.plans.queries.base import DEALS, DEALS_SQL, Tables, day, deals, query
 from movelens.plans.queries.deals import ERA_SQL
 from movelens.plans.queries.jobs import (
-    FEE, FIELDED, FROM_CLUB, LISTED, MOVES_SQL, NOW, P_WEIGHTS, PERSONS_SQL, PLAYERS_SQL, SNAPSHOT_SQL, TO_CLUB, half_even_sql, raw_tables, sn_corrected, snapshot,
+    FEE, FIELDED, FROM_CLUB, LISTED, MOVES_SQL, NOW, P_WEIGHTS, PERSONS_SQL, PLAYERS_SQL, SNAPSHOT_SQL, TO_CLUB, half_even_sql, raw_tables, snapshot,
 )
+from movelens.plans.scoring import league_baselines
 from movelens.schemas import TRANSFERS
 from movelens.sources.feeds import flatten_history
 from movelens.sources.sinks import as_json, export_csv, load_fitted, save_fitted, write_stage
@@ -192,8 +192,7 @@ def form_vs_own_league(t: Tables) -> DataFrame:
     """Recent output of valuable players against their own league's average."""
     raw = raw_tables(t)
     players = sn.players_with_role(raw["players"], raw["game_lineups"])
-    positioned = sn_corrected(raw).join(players.select("player_id", "position"), "player_id", "left")
-    cells = rate_baselines(positioned, region="competition_id", group="position", num=F.col("goals") + F.col("assists"), den=F.col("minutes_played"), out="ga_p90_baseline")
+    cells = league_baselines(raw["appearances"], players)
     return sn.vs_own_league(snapshot(t), cells).select("player_id", F.round("recent_ga_p90_vs_league", 8).alias("ratio"))
 
 

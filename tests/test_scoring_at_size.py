@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from movelens.operators.baselines import rate_baselines
+from movelens.operators.baselines import rate_baselines, weighted_baselines
 from movelens.plans import scoring as plan
 from movelens.plans.queries import jobs
 from tests import careers
@@ -53,3 +53,21 @@ def test_one_pass_over_the_facts_serves_both_populations(spark, tables, monkeypa
 def test_rows_per_player_bounds_every_player(spark):
     a = spark.createDataFrame([(1,), (1,), (2,)], "player_id long")
     assert plan.rows_per_player(a, a.filter("player_id = 2"), a.limit(0)) == 3
+
+
+def test_baselines_read_their_facts_once(spark, tables):
+    """Cells and group totals come from one pass: the facts are in the plan once."""
+    facts = tables["appearances"].withColumn("position", F.lit("x"))
+    rate = rate_baselines(facts, region="competition_id", group="position", num=F.col("goals"), den=F.col("minutes_played"))
+    w = weighted_baselines(facts, ["goals"], region="competition_id", group="position", weight="minutes_played")
+    for out in (rate, w):
+        plan_text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(plan_text.count(x) for x in ("Relation [", "LogicalRDD", "LocalRelation")) == 1, plan_text
+        assert out.filter("competition_id = '_default'").count() == 1 and out.count() > 1
+
+
+def test_form_against_own_league_moves_no_single_appearances_for_its_baselines(spark):
+    """Corrections join the recent appearances only, and once."""
+    text = queries()["form_vs_own_league"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in text.splitlines() if "Join" in x and "appearance_id" in x]
+    assert len(joins) == 1, joins

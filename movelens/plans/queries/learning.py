@@ -11,6 +11,7 @@ from movelens.operators import predict as pr
 from movelens.operators.baselines import category_baselines, regress
 from movelens.operators.folds import fit_folds, predicted
 from movelens.operators.reports import binned_trend, nearest_bucket
+from movelens.operators.small_side import small_join
 from movelens.plans.queries.base import DEALS_SQL, Tables, deals, query
 from movelens.plans.queries.ranking import PRIOR_SQL, with_prior
 from movelens.sources.staging import stage
@@ -248,14 +249,20 @@ sc AS (SELECT q.deal_id, q.subject, q.segment, q.priority, q.balance, ln(1 + q.f
   'BUILDING' AS ref_segment, '3-MEDIUM' AS ref_priority FROM q JOIN med ON med.segment = q.segment)"""
 
 
-def scenarios(t: Tables) -> DataFrame:
+def scenario_rows(t: Tables) -> DataFrame:
+    """What scenarios need of the deals, written once: the typical values and the scenarios read it."""
+    picked = with_prior(t).select("deal_id", "subject", "segment", "priority", "balance", "prior", F.log1p("fee").alias("log_fee"))
+    return stage(picked, "scenario-rows")
+
+
+def scenarios(t: Tables, base: DataFrame | None = None) -> DataFrame:
     """Deals as scenarios, with typical values per segment to compare with."""
-    base = with_prior(t).withColumn("log_fee", F.log1p("fee"))
+    base = scenario_rows(t) if base is None else base
     guard = t.skew("orders")
     med = md.as_struct(md.medians(base, ["prior", "log_fee"], ["segment"], guard), ["prior", "log_fee"], "median", ["segment"])
-    med = med.select("segment", F.col("v.prior").alias("ref_prior"), F.col("v.log_fee").alias("ref_log_fee"))
+    med = med.select(F.col("segment").alias("_ms"), F.col("v.prior").alias("ref_prior"), F.col("v.log_fee").alias("ref_log_fee"))
     has = F.col("deal_id") % 3 != 0
-    return base.join(med, "segment").withColumns(
+    return small_join(base, med, [("segment", "_ms")], "inner").drop("_ms").withColumns(
         {
             "has_recent": has, "prior": F.when(has, F.col("prior")).otherwise(F.col("ref_prior")),
             "ref_balance": F.lit(4000.0), "ref_segment": F.lit("BUILDING"), "ref_priority": F.lit("3-MEDIUM"),
@@ -273,8 +280,9 @@ SELECT deal_id, round(CASE WHEN has_recent THEN {linear_sql()} ELSE {linear_sql(
     linear_sql(), linear_sql(segment="sc.segment")))
 def marginalised_predict(t: Tables) -> DataFrame:
     """Without recent form: the mean over all profiles of the segment."""
-    profiles = with_prior(t).groupBy("segment").agg(F.struct(F.avg("prior").alias("prior")).alias("v"))
-    df = pr.marginalise(scenarios(t), MODEL, profiles, group="segment", out="raw", features=["prior"])
+    base = scenario_rows(t)
+    profiles = base.groupBy("segment").agg(F.struct(F.avg("prior").alias("prior")).alias("v"))
+    df = pr.marginalise(scenarios(t, base), MODEL, profiles, group="segment", out="raw", features=["prior"])
     return df.select("deal_id", F.round("raw", 6).alias("raw"))
 
 

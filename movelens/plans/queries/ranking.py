@@ -85,9 +85,8 @@ q AS (SELECT * FROM pp WHERE prior IS NOT NULL)"""
 
 def with_prior(t: Tables) -> DataFrame:
     """Deals with the subject's previous score: the row before in the same order."""
-    placed = ordered_scan(deals(t), ["subject"], ["d", "deal_id"], lead={"_next": F.col("deal_id")}, skew=t.skew("orders"))
-    prior = placed.filter(F.col("_next").isNotNull()).select(F.col("_next").alias("deal_id"), F.col("score").alias("prior"))
-    return placed.drop("_next").join(prior, "deal_id")
+    placed = ordered_scan(deals(t), ["subject"], ["d", "deal_id"], lag={"prior": F.col("score")}, skew=t.skew("orders"))
+    return placed.filter(F.col("prior").isNotNull())
 
 
 @query("expected_level_residual", f"""WITH {PRIOR_SQL},

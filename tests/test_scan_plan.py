@@ -22,3 +22,13 @@ def test_chained_hot_scans_stay_linear(spark):
     for i in range(4):
         plain = ordered_scan(plain, ["k"], ["t"], sums={f"s{i}": F.col("v")}, last={f"l{i}": F.col("v")}, skew=Skew(rows_at_most=400))
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_lag_is_the_row_before_across_segments(spark):
+    """Also where the value before is null, and at a hot key's segment borders."""
+    rows = [(i % 3, i, None if i % 5 == 0 else i * 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    want = sorted((k, t, rows[t - 3][2] if t >= 3 else None) for k, t, _ in rows)
+    for skew in (Skew(rows_at_most=200), Skew(hot_rows=10, pieces=8)):
+        out = ordered_scan(df, ["k"], ["t"], lag={"p": F.col("v")}, skew=skew)
+        assert sorted(map(tuple, out.select("k", "t", "p").collect())) == want

@@ -98,16 +98,21 @@ def pct_ranks(df: DataFrame, key: Sequence[str], specs: Sequence[RankSpec], skew
     identifies a row of ``df``. A row with a null group has no rank.
     """
     key = list(key)
-    entries = []
-    for i, spec in enumerate(specs):
-        value = spec.value if spec.where is None else F.when(spec.where, spec.value)
+
+    def value(spec: RankSpec) -> Column:
+        return (spec.value if spec.where is None else F.when(spec.where, spec.value)).cast("double")
+
+    def group(spec: RankSpec) -> Column:
         if len(spec.by) > 1:
-            group = F.to_json(F.struct(*spec.by))
-        else:
-            group = F.col(spec.by[0]).cast("string") if spec.by else F.lit("")
-        entries.append(
-            F.struct(F.lit(i).alias("_m"), group.alias("_g"), value.cast("double").alias("_v"))
-        )
+            return F.to_json(F.struct(*spec.by))
+        return F.col(spec.by[0]).cast("string") if spec.by else F.lit("")
+
+    if len(specs) == 1:
+        # one rank joins the rows by its value; stacked, they would be moved by value, by key and by key again
+        grouped = df.withColumn("_g", group(specs[0]))
+        ranked = grouped.withColumn("_v1", F.when(F.col("_g").isNotNull(), value(specs[0])))
+        return pct_rank(ranked, "_v1", specs[0].out, ["_g"], skew=skew).drop("_v1", "_g")
+    entries = [F.struct(F.lit(i).alias("_m"), group(s).alias("_g"), value(s).alias("_v")) for i, s in enumerate(specs)]
     stacked = (
         df.select(*key, F.explode(F.array(*entries)).alias("_e"))
         .select(*key, "_e._m", "_e._g", "_e._v")

@@ -21,8 +21,10 @@ ranked AS (SELECT x.*, rk.resale_pct FROM resold x LEFT JOIN rk USING (deal_id))
 
 
 def ranked(t: Tables) -> DataFrame:
+    """Deals with the rank of their resale profit; written once before the ranks, which read them several times."""
     spec = resale_spec("fee", "next_fee", floor=10_000_000.0, out="resale_pct")
-    return pct_ranks(resold(t), ["deal_id"], [spec], skew=t.skew("orders"))
+    rows = stage(resold(t).drop("status", "priority", "name", "segment", "balance"), "resold-rows")
+    return pct_ranks(rows, ["deal_id"], [spec], skew=t.skew("orders"))
 
 
 @query("report_card_buyer", f"""WITH {DEALS_SQL}
@@ -81,7 +83,7 @@ SELECT club_name, coalesce(ml.r, sl.r) AS league_id, coalesce(n_in, 0) AS transf
   round(delta, 8) AS score_improvement
 FROM i FULL JOIN o USING (club_name) LEFT JOIN r USING (club_name) LEFT JOIN ml USING (club_name) LEFT JOIN sl USING (club_name) LEFT JOIN half USING (club_name)""")
 def report_card_full(t: Tables) -> DataFrame:
-    cards = rp.report_cards(ranked(t), DEALS, skew=t.skew("orders"))
+    cards = rp.report_cards(stage(ranked(t), "ranked-rows"), DEALS, skew=t.skew("orders"))
     return cards.select(
         "club_name", "league_id", F.col("transfers_in").cast("long"), F.round("avg_incoming_score", 8).alias("avg_incoming_score"),
         F.col("total_spent").cast("long"), F.col("resales_count").cast("long"),
@@ -255,7 +257,7 @@ SELECT pr.a, pr.b, CAST(x.place AS INTEGER) AS place, x.metric, round(x.v, 6) AS
 FROM pr JOIN m x ON x.c = pr.a JOIN m y ON y.c = pr.b AND y.metric = x.metric""")
 def head_to_head(t: Tables) -> DataFrame:
     """Every nation against the next one of its region."""
-    cards = stage(rp.report_cards(ranked(t), DEALS, skew=t.skew("orders")), "cards")
+    cards = stage(rp.report_cards(stage(ranked(t), "ranked-rows"), DEALS, skew=t.skew("orders")), "cards")
     pairs = ordered_scan(t.nation, ["n_regionkey"], ["n_nationkey"], lead={"b": F.col("n_nationkey")}, skew=t.skew("nation"))
     pairs = pairs.filter(F.col("b").isNotNull()).select(F.col("n_nationkey").alias("a"), "b")
     return rp.head_to_head(cards, pairs).select(

@@ -76,7 +76,7 @@ def conditional_references(t: Tables) -> DataFrame:
 c AS (SELECT segment, arg_min(priority, (-n, priority)) AS priority FROM (SELECT segment, priority, count(*) AS n FROM deals GROUP BY 1, 2) GROUP BY 1)
 SELECT segment, fee, score, priority FROM m JOIN c USING (segment)""")
 def group_references(t: Tables) -> DataFrame:
-    d = deals(t)
+    d = stage(deals(t).select("segment", "priority", "fee", "score"), "reference-rows")
     m = md.as_struct(md.medians(d, ["fee", "score"], ["segment"], t.skew("orders")), ["fee", "score"], "median", ["segment"])
     role = pr.modes(d, ["priority"], ["segment"]).select("segment", F.col("mode").alias("priority"))
     return m.join(role, "segment").select("segment", "v.fee", "v.score", "priority")

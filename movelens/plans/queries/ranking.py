@@ -10,7 +10,7 @@ from movelens.operators import scoring as sc
 from movelens.operators.ranks import exact_quantiles, pct_rank, pct_ranks
 from movelens.operators.reports import binned_trend
 from movelens.operators.scan import ordered_scan
-from movelens.plans.queries.base import DEALS_SQL, RESOLD_SQL, Tables, deals, query, rank_sql, resold
+from movelens.plans.queries.base import DEALS_SQL, RESOLD_SQL, Tables, deals, query, rank_sql, resold, subject_skew
 from movelens.plans.queries.spells import LINES_SQL, lines
 from movelens.sources.staging import stage
 
@@ -85,7 +85,7 @@ q AS (SELECT * FROM pp WHERE prior IS NOT NULL)"""
 
 def with_prior(t: Tables) -> DataFrame:
     """Deals with the subject's previous score: the row before in the same order."""
-    placed = ordered_scan(deals(t), ["subject"], ["d", "deal_id"], lag={"prior": F.col("score")}, skew=t.skew("orders"))
+    placed = ordered_scan(deals(t), ["subject"], ["d", "deal_id"], lag={"prior": F.col("score")}, skew=subject_skew(t))
     return placed.filter(F.col("prior").isNotNull())
 
 
@@ -106,7 +106,8 @@ r AS (SELECT deal_id, {rank_sql('(next_fee - fee) / greatest(fee, 10000000)')} A
 SELECT x.deal_id, x.next_fee, x.next_fee IS NOT NULL AS has_resale, round(r.pct, 8) AS resale_pct FROM resold x LEFT JOIN r USING (deal_id)""")
 def resale_profit(t: Tables) -> DataFrame:
     spec = sc.resale_spec("fee", "next_fee", floor=10_000_000.0, out="resale_pct")
-    df = pct_ranks(resold(t).select("deal_id", "fee", "next_fee"), ["deal_id"], [spec], skew=t.skew("orders"))
+    rows = stage(resold(t).select("deal_id", "fee", "next_fee"), "resold-rows")
+    df = pct_ranks(rows, ["deal_id"], [spec], skew=t.skew("orders"))
     return df.select("deal_id", "next_fee", F.col("next_fee").isNotNull().alias("has_resale"), F.round("resale_pct", 8).alias("resale_pct"))
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from movelens.operators import scan
 from movelens.operators.ranks import RankSpec, exact_quantiles, pct_rank, pct_ranks
 from movelens.operators.reports import binned_trend, half_split_delta
 from movelens.operators.scan import Skew, ordered_scan
@@ -42,6 +43,23 @@ def test_segments_do_not_change_results(df, by):
     pd.testing.assert_frame_equal(*results)
 
 
+@pytest.mark.parametrize("by", [["k"], []])
+def test_segments_agree_where_boundaries_vary(df, data, by, monkeypatch):
+    """Approximate quantiles may differ each time they are computed; the scan's parts use the same ones."""
+    boundaries = scan._boundaries
+
+    def varying(ord_col, pieces):
+        noise = "CAST(pmod(CAST(java_method('java.lang.System', 'nanoTime') AS BIGINT), 41) - 20 AS DOUBLE)"
+        return F.array_sort(F.transform(boundaries(ord_col, pieces), lambda b: b + F.expr(noise)))
+
+    monkeypatch.setattr(scan, "_boundaries", varying)
+    d = data.sort_values([*by, "t", "id"])
+    want = (d.groupby(by).id if by else d.id).cumsum()
+    for _ in range(3):
+        got = ordered_scan(df, by, ["t", "id"], sums={"s": F.col("id")}, skew=HOT).toPandas().set_index("id").s
+        assert got.to_dict() == dict(zip(d.id, want))
+
+
 def test_scan_against_pandas(df, data):
     out = ordered_scan(df, ["k"], ["t", "id"], lead={"n": F.col("id")}, sums={"s": F.col("id")}, skew=HOT)
     got = out.toPandas().set_index("id").sort_index()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from movelens.operators.scan import DEFAULT_SKEW, Skew, _same_keys, ordered_scan
+from movelens.sources.staging import stage
 
 
 def value_counts(
@@ -36,6 +37,10 @@ def value_counts(
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("cnt"), *[c.alias(o) for o, c in (aggs or {}).items()])
     )
+    if skew.rows_at_most is not None and skew.rows_at_most > skew.hot_rows:
+        # counted from the file, so that rows that repeat few values need no guard and are grouped once
+        counts = stage(counts, "value-counts")
+        skew = skew.bounded(counts.count())
     scanned = ordered_scan(
         counts, by, [value], sums={"_upto": F.col("cnt")}, totals={"n": F.col("cnt")}, skew=skew
     )

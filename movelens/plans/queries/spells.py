@@ -21,7 +21,7 @@ from movelens.operators.stitch import drop_contaminated, explode_seasons, stitch
 from movelens.operators.windows import TimeWindow, window_sums
 from movelens.plans.queries.base import (
     NOW, SPELLS_SQL, WINDOWS_SQL, Tables, cents, micros, placed_events, purchase_spells, query, rank_sql,
-    spell_values, spell_windows, user_events, values_sql,
+    spell_values, spell_windows, user_events, user_skew, values_sql,
 )
 from movelens.sources.staging import stage
 
@@ -79,7 +79,7 @@ def window_stats_pre_post(t: Tables) -> DataFrame:
             TimeWindow("pre_", ("user_id",), start - F.expr("INTERVAL 7 DAYS"), start, True, False),
             TimeWindow("post_", ("user_id",), start, end),
         ],
-        sums={"apps": F.lit(1), "cents": F.col("cents")}, skew=t.skew("events"),
+        sums={"apps": F.lit(1), "cents": F.col("cents")}, skew=user_skew(t),
     ).select(
         "event_id", F.col("pre_apps").cast("long"), "pre_cents", F.col("post_apps").cast("long"), "post_cents"
     )

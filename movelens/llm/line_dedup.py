@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from movelens.llm.shingles import mixed, powers
 from movelens.llm.text_ids import free_name, released, row_key, small_batches, whole_text
-from movelens.sources.staging import stage
+from movelens.sources.staging import stage, unstage
 
 EDITS, MIN_CHARS = 2, 20
 #: Lines entered under a key up to which all pairs meet, and lines of a block beyond that.
@@ -236,8 +236,11 @@ def _known(docs: DataFrame, key: str, text: str, lines: DataFrame, asked: DataFr
     """k1, k2, first place and text of the asked lines (k1, k2)."""
     asked = stage(asked.distinct(), "asked")
     places = stage(lines.join(_small(asked), ["k1", "k2"]).groupBy("k1", "k2").agg(_first_place()), "line-places")
+    unstage(asked)
     texts = _line_texts(docs, key, text, places.select("f.rk", "f.no"))
-    return stage(places.join(texts, ["k1", "k2"]), "line-texts")
+    known = stage(places.join(texts, ["k1", "k2"]), "line-texts")
+    unstage(places)
+    return known
 
 
 def _first_place() -> Column:
@@ -274,7 +277,7 @@ def _later_in_blocks(edits: int):
 
 
 def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
-    """k1, k2 of the distinct lines with a near copy that comes earlier."""
+    """k1, k2 of the distinct lines with a near copy that comes earlier, written once; all other tables are gone then."""
     own = edits + 1
     # copies count too here, so this only errs towards blocks
     often = lines.select(F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").groupBy("seg").agg(F.count(F.lit(1)).alias("c"))
@@ -294,18 +297,23 @@ def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFr
     both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
     good = _verified(both, edits)
     later = F.col("fa") > F.col("fb")
-    out = good.select(
-        F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("k1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2"))
+    out = stage(good.select(
+        F.when(later, F.col("a1")).otherwise(F.col("b1")).alias("k1"), F.when(later, F.col("a2")).otherwise(F.col("b2")).alias("k2")), "near-pairs")
+    unstage(pairs, known)
     # lines at crowded keys, in pairs of blocks
     crowd = lines.select("k1", "k2", F.explode("segs").alias("seg")).join(_small(crowded), "seg", "left_semi").distinct()
     sizes = crowd.groupBy("seg").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("blocks", F.ceil(F.col("c") / F.lit(float(BLOCK_LINES))).cast("int"))
     crowd = stage(crowd.join(sizes.drop("c"), "seg"), "crowd")
-    texts = _known(docs, key, text, lines, crowd.select("k1", "k2")).select("k1", "k2", "line", "f.*")
+    unstage(crowded)
+    known = _known(docs, key, text, lines, crowd.select("k1", "k2"))
+    texts = known.select("k1", "k2", "line", "f.*")
     dealt = crowd.withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int"))
     tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "seg", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "k1", "k2")
     crowded_out = tasks.join(texts, ["k1", "k2"]).groupBy("seg", "b1", "b2").applyInPandas(_later_in_blocks(edits), "k1 long, k2 long")
-    return out.unionByName(crowded_out).distinct()
+    found = stage(out.unionByName(crowded_out).distinct(), "near-lines")
+    unstage(out, crowd, known)
+    return found
 
 
 def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> DataFrame:
@@ -314,16 +322,20 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> D
     lines = stage(_lines(docs, key, text, edits), "lines")
     joined = lines.filter(F.size("segs") > 0)
     distinct = joined.groupBy("k1", "k2").agg(F.first("segs").alias("segs"))
-    near = stage(_near(docs, key, text, joined, distinct, edits), "near-lines").withColumn("near", F.lit(True))
+    found = _near(docs, key, text, joined, distinct, edits)
+    near = found.withColumn("near", F.lit(True))
     firsts = lines.groupBy("k1", "k2").agg(_first_place(), F.count(F.lit(1)).alias("c"))
     judged = firsts.join(near, ["k1", "k2"], "left").filter((F.col("c") > 1) | F.col("near"))
     judged = stage(judged.select("k1", "k2", F.col("f.rk").alias("frk"), F.col("f.no").alias("fno"), F.coalesce("near", F.lit(False)).alias("near")), "judged")
+    unstage(found)
     copies = lines.select("rk", "no", "k1", "k2").join(judged, ["k1", "k2"])
     again = (F.col("rk") != F.col("frk")) | (F.col("no") != F.col("fno"))
     out = copies.filter(again | F.col("near")).groupBy("rk").agg(
         F.sort_array(F.collect_set(F.when(again, F.col("no")))).alias("exact"),
         F.sort_array(F.collect_set(F.when(~again, F.col("no")))).alias("near"))
-    return stage(out, "dropped")
+    dropped = stage(out, "dropped")
+    unstage(lines, judged)
+    return dropped
 
 
 def dedup_report(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> DataFrame:

@@ -10,7 +10,10 @@ the distance share at least one segment unchanged, at a place that the number of
 segments before and after it confines. So each line is entered under its own
 segments (with its length) and looked up under the substrings it has where a
 segment of a line of the same or a smaller length can lie. All these keys are
-hashes from running sums over the characters. Pairs that meet are verified once
+hashes from running sums over the characters. A line is dealt out once under each
+of its keys, entered or looked up, by half of its hash; lines that share a half
+are told apart when pairs are verified. Rows that meet no line are dropped where
+they arrive, so only rows that meet are joined. Pairs that meet are verified once
 with a bit-parallel edit distance that keeps one word per pair: the diagonals
 within the threshold. At a key under which very many lines are entered, pairs
 are not made: a task compares two blocks of its lines and returns the lines
@@ -85,7 +88,7 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def segment_keys(lines: list[str], edits: int) -> np.ndarray:
-    """A row of hashes per line, in the order of ``probes``; 0 where a place does not exist."""
+    """A row of hashes per line, in the order of ``probes``; 0 where a place does not exist or repeats an earlier key."""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     power, inverse = powers(len(chars) + 1)
@@ -103,6 +106,8 @@ def segment_keys(lines: list[str], edits: int) -> np.ndarray:
         # the length of the line that is looked for and the segment are part of the key
         tag = ((length - shorter) * 64 + i).astype(_U) * _U(0x9E3779B97F4A7C15)
         out[:, k] = np.where(fits, mixed(h + tag) | _U(1), _U(0))
+        for j in range(k):
+            out[out[:, k] == out[:, j], k] = 0
     return out
 
 
@@ -233,9 +238,9 @@ def _small(ids: DataFrame) -> DataFrame:
 
 
 def _known(docs: DataFrame, key: str, text: str, lines: DataFrame, asked: DataFrame) -> DataFrame:
-    """k1, k2, first place and text of the asked lines (k1, k2)."""
+    """k1, k2, first place and text of the asked lines (k1, k2, or k1 alone for all lines that share it)."""
     asked = stage(asked.distinct(), "asked")
-    places = stage(lines.join(_small(asked), ["k1", "k2"]).groupBy("k1", "k2").agg(_first_place()), "line-places")
+    places = stage(lines.join(_small(asked), asked.columns).groupBy("k1", "k2").agg(_first_place()), "line-places")
     unstage(asked)
     texts = _line_texts(docs, key, text, places.select("f.rk", "f.no"))
     known = stage(places.join(texts, ["k1", "k2"]), "line-texts")
@@ -247,6 +252,31 @@ def _first_place() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("no"), F.col("rk"))).alias("f")
 
 
+def _meeting(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (seg, own, k1) whose seg an own row has and another row too.
+
+    Rows with one seg follow each other, own ones first, so that a row is judged by its neighbours.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, good = None, None, False  # an own row that starts its seg; the last seg, and whether an own row starts it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seg, own = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([last is None or seg[0] != last], seg[1:] != seg[:-1]))
+            run = np.cumsum(starts)
+            alive = np.concatenate(([good], own[starts]))[run]
+            followed = np.concatenate((~starts[1:], [False]))
+            if held is not None and not starts[0]:
+                yield held
+            yield batch.filter(pa.array(alive & (~starts | followed)))
+            held = batch.slice(len(seg) - 1) if starts[-1] and own[-1] else None
+            last, good = seg[-1], bool(alive[-1])
+
+    return keys.repartition("seg").sortWithinPartitions("seg", F.desc("own")).mapInArrow(released(meet), keys.schema)
+
+
 def _later_in_blocks(edits: int):
     def later(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["none", "id", "no", "rk"]).reset_index(drop=True)
@@ -282,19 +312,19 @@ def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFr
     # copies count too here, so this only errs towards blocks
     often = lines.select(F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").groupBy("seg").agg(F.count(F.lit(1)).alias("c"))
     crowded = stage(often.filter(F.col("c") > FEW_LINES).select("seg"), "crowded")
-    entered = firsts.select("k1", "k2", F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").join(_small(crowded), "seg", "left_anti")
-    looked = firsts.select(F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.explode("segs").alias("seg")).filter("seg != 0")
-    met = entered.join(looked, "seg").filter((F.col("k1") != F.col("q1")) | (F.col("k2") != F.col("q2")))
+    keys = firsts.select("k1", F.posexplode("segs").alias("place", "seg")).filter("seg != 0").select("seg", (F.col("place") < own).alias("own"), "k1")
+    met = stage(_meeting(keys.join(_small(crowded), "seg", "left_anti")), "met")
+    # a line has a key once, so rows that share key and k1 are two lines
+    sides = met.groupBy("seg", "k1").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("c"))
+    looked = sides.select("seg", F.col("k1").alias("q1"))
     # one row per pair, whichever way round it met
-    turned = (F.col("k1") < F.col("q1")) | ((F.col("k1") == F.col("q1")) & (F.col("k2") < F.col("q2")))
-    pair = lambda x, y: F.when(turned, F.col(x)).otherwise(F.col(y))
-    pairs = stage(met.select(
-        pair("k1", "q1").alias("a1"), pair("k2", "q2").alias("a2"), pair("q1", "k1").alias("b1"), pair("q2", "k2").alias("b2")).distinct(), "line-pairs")
-    known = _known(docs, key, text, lines, pairs.select(F.explode(F.array(
-        F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")), F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))).alias("x")).select("x.*"))
+    pairs = stage(sides.filter("own").join(looked, "seg").filter((F.col("k1") != F.col("q1")) | (F.col("c") > 1)).select(
+        F.least("k1", "q1").alias("a1"), F.greatest("k1", "q1").alias("b1")).distinct(), "line-pairs")
+    unstage(met)
+    known = _known(docs, key, text, lines, pairs.select(F.explode(F.array("a1", "b1")).alias("k1")))
     side = lambda s: known.select(
         F.col("k1").alias(f"{s}1"), F.col("k2").alias(f"{s}2"), F.col("line").alias(f"l{s}"), F.col("f").alias(f"f{s}"))
-    both = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"])
+    both = pairs.join(side("a"), "a1").join(side("b"), "b1").filter((F.col("a1") != F.col("b1")) | (F.col("a2") < F.col("b2")))
     good = _verified(both, edits)
     later = F.col("fa") > F.col("fb")
     out = stage(good.select(

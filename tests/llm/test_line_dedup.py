@@ -115,3 +115,36 @@ def test_text_without_dropped_lines(spark):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(left, key=repr)
     assert ld.without_repeated_lines(df.limit(0), "doc_id", "text").count() == 0
     assert ld.dedup_report(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_rows_that_meet_equal_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.random() < 0.4, i) for i in range(90)] + [(100, i < 2, 200 + i) for i in range(40)] + [(101, False, 300 + i) for i in range(40)]
+    size = Counter(seg for seg, _, _ in rows)
+    entered = {seg for seg, own, _ in rows if own}
+    expected = sorted(r for r in rows if size[r[0]] > 1 and r[0] in entered)
+    keys = spark.createDataFrame(rows, "seg long, own boolean, k1 long").repartition(7)
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    try:
+        for n in (1, 2, 3, 1000):  # a seg may go on over several batches
+            spark.conf.set(most, n)
+            assert sorted(tuple(r) for r in ld._meeting(keys).collect()) == expected
+    finally:
+        spark.conf.set(most, before)
+
+
+def test_lines_that_share_half_of_their_hash(spark, monkeypatch):
+    whole = ld.line_keys
+    monkeypatch.setattr(ld, "line_keys", lambda line: (len(line) % 2, whole(line)[1]))
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ld.dedup_report(df, "doc_id", "text").collect()
+    expected = brute(rows)
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(k, *expected[k, t or ""]) for k, t in rows], key=repr)
+
+
+def test_a_line_has_a_key_once():
+    keys = ld.segment_keys(["a" * 30, "ab" * 20, "abc" * 9 + "d"], 2)
+    for row in keys:
+        assert len(set(row) - {0}) == (row != 0).sum()

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from movelens.llm.shingles import mixed, powers
 from movelens.llm.text_ids import free_name, released, row_key, small_batches, whole_text
-from movelens.sources.staging import stage, unstage
+from movelens.sources.staging import free_shuffles, stage, unstage
 
 EDITS, MIN_CHARS = 2, 20
 #: Lines entered under a key up to which all pairs meet, and lines of a block beyond that.
@@ -312,8 +312,10 @@ def _near(docs: DataFrame, key: str, text: str, lines: DataFrame, firsts: DataFr
     # copies count too here, so this only errs towards blocks
     often = lines.select(F.explode(F.slice("segs", 1, own)).alias("seg")).filter("seg != 0").groupBy("seg").agg(F.count(F.lit(1)).alias("c"))
     crowded = stage(often.filter(F.col("c") > FEW_LINES).select("seg"), "crowded")
+    free_shuffles(docs.sparkSession)
     keys = firsts.select("k1", F.posexplode("segs").alias("place", "seg")).filter("seg != 0").select("seg", (F.col("place") < own).alias("own"), "k1")
     met = stage(_meeting(keys.join(_small(crowded), "seg", "left_anti")), "met")
+    free_shuffles(docs.sparkSession)
     # a line has a key once, so rows that share key and k1 are two lines
     sides = met.groupBy("seg", "k1").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("c"))
     looked = sides.select("seg", F.col("k1").alias("q1"))
@@ -365,6 +367,7 @@ def dropped_lines(docs: DataFrame, key: str, text: str, edits: int = EDITS) -> D
         F.sort_array(F.collect_set(F.when(~again, F.col("no")))).alias("near"))
     dropped = stage(out, "dropped")
     unstage(lines, judged)
+    free_shuffles(docs.sparkSession)
     return dropped
 
 

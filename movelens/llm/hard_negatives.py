@@ -35,10 +35,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from movelens.sources.staging import stage
+from movelens.sources.staging import stage, unstage
 
 #: Rows that the codebooks are fitted on; rows of a cell aimed at; codes of a half at most (a table of cells is broadcast).
 SAMPLE_ROWS, CELL_ROWS, MAX_CODES = 4096, 32, 128
@@ -195,6 +195,21 @@ def _scaled_rows(df: DataFrame, key: str, vector: str, label: Column, anchors: C
     return picked.filter("usable AND id IS NOT NULL AND label IS NOT NULL").drop("usable").withColumn("uid", F.monotonically_increasing_id())
 
 
+def _sample(rows: DataFrame, total: int) -> list[Row]:
+    """The SAMPLE_ROWS rows with the smallest hashes.
+
+    Each task sends the driver as many rows as are asked for. So only rows with hashes that about twice as many rows have
+    are ordered, and all of them should these be too few.
+    """
+    hashed = rows.select("e", "uid", F.xxhash64("id", "uid").alias("h"))
+    if total > 2 * SAMPLE_ROWS:
+        below = (1 << 64) * 2 * SAMPLE_ROWS // total - (1 << 63)
+        found = hashed.filter(F.col("h") < below).orderBy("h", "uid").limit(SAMPLE_ROWS).collect()
+        if len(found) == SAMPLE_ROWS:
+            return found
+    return hashed.orderBy("h", "uid").limit(SAMPLE_ROWS).collect()
+
+
 def _matrix(arrays: pa.Array, dims: int) -> np.ndarray:
     """Rows of whole numbers, filled up with zeros."""
     out = np.zeros((len(arrays), dims))
@@ -293,7 +308,7 @@ def _searched(shards: DataFrame, windows: DataFrame | None, books: Codebooks, di
                         shard.search(q, uid, label, wanted, shared.value)
                         _found(uid, wanted, out)
                         visits |= shared.value.shards_reaching(q, [(w.needed(), w.high) for w in wanted])
-                        asked.append({"uid": uid, "label": label, "q": q.tobytes(),
+                        asked.append({"uid": uid, "label": label, "q": q.astype(row["kind"]).tobytes(),
                                       "needed": [None if w.needed() == -math.inf else str(int(w.needed())) for w in wanted], "scores": None if own_label else scores[uid]})
                     if asked:
                         yield pa.RecordBatch.from_pylist(
@@ -313,12 +328,13 @@ def _searched(shards: DataFrame, windows: DataFrame | None, books: Codebooks, di
                     wanted = wishes(a["scores"])
                     for w, needed in zip(wanted, a["needed"]):
                         w.low = w.low if needed is None else max(w.low, int(needed))
-                    shard.search(np.frombuffer(a["q"], np.float64), a["uid"], a["label"], wanted, shared.value)
+                    shard.search(np.frombuffer(a["q"], row["kind"]).astype(np.float64), a["uid"], a["label"], wanted, shared.value)
                     _found(a["uid"], wanted, out)
                 if out["anchor"]:
                     yield _found_batch(out)
 
-    pairs = blocks.select(F.explode("visits").alias("shard"), "asked").join(shards, "shard")
+    # a block is met once for each shard that it visits, which the optimizer does not foresee: it would broadcast them all
+    pairs = blocks.select(F.explode("visits").alias("shard"), "asked").join(shards.hint("merge"), "shard")
     more = pairs.mapInArrow(away, FOUND)
     return blocks.select(F.inline("found")).unionByName(more)
 
@@ -344,13 +360,14 @@ def mine(
     size = F.aggregate("e", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
     total, dims, widest = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("e")), F.lit(0)), F.coalesce(F.max(size), F.lit(0.0))).first()
     kind = "<f4" if widest < (1 << 24) else "<f8"
-    sample = rows.select("e", "uid", F.xxhash64("id", "uid").alias("h")).orderBy("h", "uid").limit(SAMPLE_ROWS).collect()
+    sample = _sample(rows, total)
     x = np.zeros((max(1, len(sample)), dims))
     for i, r in enumerate(sample):
         x[i, :len(r.e)] = np.floor(r.e)
     codes = max(1, min(MAX_CODES, math.ceil(math.sqrt(total / cell_rows)), len(sample)))
     books = Codebooks(dims // 2, (_kmeans(x[:, :dims // 2], codes), _kmeans(x[:, dims // 2:], codes)))
     placed = stage(_assigned(rows, books, dims, kind), "negatives-placed")
+    unstage(rows)
     cells = placed.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.max("d1").alias("d1"), F.max("d2").alias("d2")).collect()  # codes squared at most
     radii = np.zeros((2, codes))
     books.first_shard, books.parts = np.zeros((codes, codes), np.int64), np.zeros((codes, codes), np.int64)

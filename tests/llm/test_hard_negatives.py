@@ -97,3 +97,41 @@ def test_bounds_hold_and_the_heap_stops_early(monkeypatch):
         same = (shard.labels == shard.labels[i]) & (np.arange(3000) != i)
         assert w.scores.tolist() == sorted((shard.vectors[same] @ q).tolist(), reverse=True)[:5]
     assert sum(scored) < 0.5 * 20 * 3000
+
+
+def above(plan, found):
+    """The lines of a plan above the first one with ``found``."""
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if found in x)
+    depth, out = len(lines[at]) - len(lines[at].lstrip(" :+-*")), []
+    for x in reversed(lines[:at]):
+        if (d := len(x) - len(x.lstrip(" :+-*"))) < depth:
+            depth, out = d, [*out, x]
+    return out
+
+
+def test_anchors_of_all_visits_are_not_broadcast(spark):
+    df = frame(spark, clustered(700)).select("vec_id", "embedding", "label")
+    got = hn.mine(df, "vec_id", "embedding", F.col("label"), F.col("vec_id") % 10 == 0, shard_rows=60, cell_rows=12)
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in next(x for x in above(plan, "explode(visits") if "Join" in x)
+
+
+@pytest.mark.parametrize("n", [30, 90, 3000])
+def test_sample_is_that_of_the_smallest_hashes(spark, monkeypatch, n):
+    monkeypatch.setattr(hn, "SAMPLE_ROWS", 40)
+    rows = hn._scaled_rows(frame(spark, clustered(n)), "vec_id", "embedding", F.col("label"), F.lit(True), 256).localCheckpoint()
+    want = rows.select("uid", F.xxhash64("id", "uid").alias("h")).collect()
+    got = hn._sample(rows, n)
+    assert [(r.h, r.uid) for r in got] == sorted((r.h, r.uid) for r in want)[:40]
+
+
+def test_tasks_send_few_rows_of_the_sample(spark, monkeypatch):
+    """With one task for each row no more than the sample is needed; with few, each sent as many rows as the whole sample has."""
+    asked = []
+    monkeypatch.setattr(hn, "SAMPLE_ROWS", 40)
+    rows = hn._scaled_rows(frame(spark, clustered(3000)), "vec_id", "embedding", F.col("label"), F.lit(True), 256)
+    limit = type(rows).limit
+    monkeypatch.setattr(type(rows), "limit", lambda self, k: asked.append(self.count()) or limit(self, k))
+    hn._sample(rows, 3000)
+    assert 40 <= asked[0] < 160
